@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality
+from tessera.llm import mixing, packing, quality, wavelet
 from tessera.llm.shared import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.ledger(table(spark, sf_dir, "documents"))
     return rated.select(
@@ -22,4 +28,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("passes").alias("n_passes"), F.round(F.get(F.col("passes.position"), F.lit(0)), 9).alias("position"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_mixing": op5_mixing}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read(*wavelet.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+QUERIES = {"op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
