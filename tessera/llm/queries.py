@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, wavelet
+from tessera.llm import mixing, packing, quality, secrets, toxicity, wavelet
 from tessera.llm.shared import table
 
 
@@ -36,4 +36,19 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(*wavelet.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {"op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def _fold(name: str, n: int):
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, learn=_fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op6_toxicity": op6_toxicity, "op10_secrets": op10_secrets, "op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
