@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neardup, neighbours, packing, quality, secrets, toxicity, wavelet
+from tessera.llm import mixing, neardup, neighbours, ngram, packing, quality, secrets, toxicity, wavelet
 from tessera.llm.shared import table
 
 
@@ -59,4 +59,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), asked=F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op2_neighbours": op2_neighbours, "op4_neardup": op4_neardup, "op6_toxicity": op6_toxicity, "op10_secrets": op10_secrets, "op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ngram.score(docs, ngram.fit(docs, learn=_fold("doc_id", 10) != 0))
+    return scored.withColumn("held_out", _fold("doc_id", 10) == 0)
+
+
+QUERIES = {"op7_language": op7_language, "op2_neighbours": op2_neighbours, "op4_neardup": op4_neardup, "op6_toxicity": op6_toxicity, "op10_secrets": op10_secrets, "op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
