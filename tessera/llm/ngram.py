@@ -41,7 +41,6 @@ SHARD = 3_000_000
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Names of what ``Facts`` holds.
 _SLICE = 400
 
 
@@ -169,6 +168,16 @@ class Vocabulary:
                 before[a:b] = np.where(there, self.mass[i] + run[at], 0)
         return ids, count, before
 
+    def of_ids(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of all words before, count) of sorted ids."""
+        before, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        edge = np.searchsorted(ids, self.first)
+        for i, (a, b) in enumerate(zip(edge, edge[1:])):
+            if a < b:
+                run, at = self.shard(i)[1], ids[a:b] - self.first[i]
+                before[a:b], count[a:b] = self.mass[i] + run[at], run[at + 1] - run[at]
+        return before, count
+
     def place(self, before: np.ndarray, count: np.ndarray, follower: np.ndarray) -> np.ndarray:
         """The shard of a pair: where it lies in the mass of all pairs, in order."""
         at = (before + count * (follower / max(self.v, 1))) / max(self.n, 1)
@@ -206,20 +215,6 @@ def _pair_keys(vocabulary: Vocabulary):
     return run, shard
 
 
-def _of_ids(self: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of all words before, count) of sorted ids."""
-    before, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    edge = np.searchsorted(ids, self.first)
-    for i, (a, b) in enumerate(zip(edge, edge[1:])):
-        if a < b:
-            run, at = self.shard(i)[1], ids[a:b] - self.first[i]
-            before[a:b], count[a:b] = self.mass[i] + run[at], run[at + 1] - run[at]
-    return before, count
-
-
-Vocabulary.of_ids = _of_ids
-
-
 def _write_words(folder: str):
     def run(parcels: pa.Table) -> pa.Table:
         shard = parcels["shard"][0].as_py()
@@ -250,10 +245,10 @@ class Successors:
         step = np.zeros(len(keys), np.int64)
         step[last[:-1] + 1] = tails[last[:-1]] + 1  # each context goes on from the last of the one before
         ids = np.cumsum(step) + tails
-        levels = np.unique(np.quantile(logs, np.linspace(0, 1, 257)))
-        code = np.clip(np.searchsorted(levels, logs, "right") - 1, 0, max(len(levels) - 2, 0))
-        n = max(len(levels) - 1, 1)
-        book = np.bincount(code, logs, n) / np.maximum(np.bincount(code, minlength=n), 1)
+        # 256 even steps, each standing for the mean of its values
+        low, wide = float(logs.min()), max(float(np.ptp(logs)), 1e-9)
+        code = np.minimum((logs - low) * (256 / wide), 255).astype(np.int64)
+        book = np.bincount(code, logs, 256) / np.maximum(np.bincount(code, minlength=256), 1)
         p, s = EliasFano.of(pointer), EliasFano.of(ids)
         return [np.array([first, p.n, p.bits, s.n, s.bits], np.int64), *p.arrays(), *s.arrays(), code.astype(np.uint8), book.astype(np.float32)]
 
