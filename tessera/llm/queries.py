@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neardup, neighbours, ngram, packing, quality, secrets, toxicity, wavelet
+from tessera.llm import mixing, neardup, neighbours, ngram, packing, passages, quality, secrets, toxicity, wavelet
 from tessera.llm.shared import table
 
 
@@ -65,4 +65,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", _fold("doc_id", 10) == 0)
 
 
-QUERIES = {"op7_language": op7_language, "op2_neighbours": op2_neighbours, "op4_neardup": op4_neardup, "op6_toxicity": op6_toxicity, "op10_secrets": op10_secrets, "op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_passages": op9_passages, "op7_language": op7_language, "op2_neighbours": op2_neighbours, "op4_neardup": op4_neardup, "op6_toxicity": op6_toxicity, "op10_secrets": op10_secrets, "op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
