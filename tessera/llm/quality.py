@@ -88,10 +88,11 @@ def _repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(total, F.lit(0).cast("long")))
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the measurements of each whole text."""
+def measure(docs: DataFrame, key: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the measurements of each whole text; without a key, the whole row as ``_row``."""
     t, long = F.coalesce(F.col(text), F.lit("")), lambda c: c.cast("long")
-    df = docs.select(F.col(key).alias("_key"), t.alias("_text"))
+    ident = F.col(key) if key else F.struct(*[F.col(c) for c in docs.columns])
+    df = docs.select(ident.alias("_key"), t.alias("_text"))
     df = df.select(
         "_key",
         F.regexp_extract_all("_text", F.lit(WORD), 0).alias("_words"),
@@ -99,11 +100,11 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"),
     )
     df = df.withColumns({"n_words": long(F.size("_words")), "word_chars": long(F.length(F.array_join("_words", ""))), "n_lines": long(F.size("_lines")), "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines")))})
-    return _repeat_words(df, "_words", "n_repeat_words").select(F.col("_key").alias(key), *MEASURES)
+    return _repeat_words(df, "_words", "n_repeat_words").select(F.col("_key").alias(key or "_row"), *MEASURES)
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``key``, the measurements and ``failed_bits``."""
+def ledger(docs: DataFrame, key: str | None = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``key`` (or ``_row``), the measurements and ``failed_bits``."""
     bits = [F.when(F.expr(r.failed), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rules)]
     return measure(docs, key, text).withColumn("failed_bits", reduce(Column.bitwiseOR, bits))
 
@@ -112,6 +113,16 @@ def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) == 0
 
 
+def accepted(docs: DataFrame, policy: Policy = FULL, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the policy lets pass, rated and filtered in one pass."""
+    rated = ledger(docs, None, text, rules)
+    # a filter pushed under the ledger would evaluate each measurement once for every mention of it;
+    # it stays above a projection that holds a column without a fixed value
+    rated = rated.select("_row", "failed_bits", F.monotonically_increasing_id().alias("_still"))
+    kept = rated.where(passes(policy, rules) & (F.col("_still") >= 0))
+    return kept.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+
+
 def ablation(rated: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a rule of the policy: documents that fail it, that fail it alone, and that the policy
     would keep without it; with what OR and AND of the failing documents' bits hold in common.

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, neardup, neighbours, ngram, packing, passages, quality, secrets, toxicity, wavelet
 from tessera.llm.shared import table
-
-
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from tessera.llm.vocabularies import vocabulary
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +64,4 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_passages": op9_passages, "op7_language": op7_language, "op2_neighbours": op2_neighbours, "op4_neardup": op4_neardup, "op6_toxicity": op6_toxicity, "op10_secrets": op10_secrets, "op8_tokens": op8_tokens, "op3_packing": op3_packing, "op1_quality": op1_quality, "op5_mixing": op5_mixing}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_packing, op4_neardup, op5_mixing, op6_toxicity, op7_language, op8_tokens, op9_passages, op10_secrets)}
