@@ -17,12 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 
-GENERATION = 150_000
-PIECES = 300_000
+GENERATION = 300_000
+PIECES = 800_000
 LONGEST = 64
 #: Chunks are gathered over so many characters of text before the unknown ones are encoded together.
 GATHER = 1_000_000
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,;:!?()|"\-'
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,;:!?()|"#*$%&>@/+=_\[\]{}~^`\\\-'
 #: Such a chunk splits into pre-tokens the same way under either vocabulary's pattern.
 _PLAIN = re.compile(rf"[{_MARKS}]*[{_LETTERS}]*[{_MARKS}]*(?:\n[{_MARKS}]*[{_LETTERS}]*[{_MARKS}]*)?")
 _PIECES = {True: re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n"), False: re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+")}
@@ -53,49 +53,70 @@ class ChunkTokenizer:
         return [array(self.width.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, by the model."""
         ids = self.old_pieces.get(piece)
         if ids is None:
-            shown = piece if self.lead else piece.lower()
-            shown = shown.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10]) if shown.isascii() else shown.encode().decode("latin-1").translate(self.alphabet)
+            shown = piece
+            if not piece.isalpha():
+                shown = piece.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10])
+            if not piece.isascii():
+                shown = piece.encode().decode("latin-1").translate(self.alphabet)
             ids = array(self.width.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self.pieces) >= PIECES:
             self.old_pieces, self.pieces = self.pieces, {}
         self.pieces[piece] = ids
         return ids
 
-    def _plain(self, chunk: str) -> bytes:
-        known = self.pieces
-        return b"".join([known.get(p) or self._piece(p) for p in self.find(self.lead + chunk)])
+    def _plain(self, chunk: str, lead: str) -> bytes:
+        known, new = self.pieces, self._piece
+        return b"".join([known.get(p) or new(p) for p in self.find(lead + (chunk if self.lead else chunk.lower()))])
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Makes the young generation know ``chunks``; those too long to be kept are returned."""
-        new = chunks - self.young.keys()
-        if len(self.young) + len(new) > GENERATION:
-            self.old, self.young = self.young, {}
+        young, old, lead = self.young, self.old, self.lead
+        new = chunks - young.keys()
+        if len(young) + len(new) > GENERATION:
+            self.old, self.young = old, young = young, {}
             new = chunks
-        passing = {}
-        ask = []
+        plain, ask, passing = _PLAIN.fullmatch, [], {}
         for c in new:
-            if (ids := self.old.get(c)) is not None:
-                self.young[c] = ids
-            elif len(c) <= LONGEST and _PLAIN.fullmatch(c):
-                self.young[c] = self._plain(c)
+            if (ids := old.get(c)) is not None:
+                young[c] = ids
+            elif len(c) > LONGEST:
+                ask.append(c)
+            elif c.isalpha() and c.isascii():
+                p = lead + c if lead else c.lower()
+                young[c] = self.pieces.get(p) or self._piece(p)
+            elif plain(c):
+                young[c] = self._plain(c, lead)
             else:
                 ask.append(c)
-        for c, ids in zip(ask, self._encode([self.lead + c for c in ask])):
-            (self.young if len(c) <= LONGEST else passing)[c] = ids
+        for c, ids in zip(ask, self._encode([lead + c for c in ask])):
+            (young if len(c) <= LONGEST else passing)[c] = ids
         return passing
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        rows = [(_CUT.split if _UNEVEN.search(t) else t.split)(*((t,) if _UNEVEN.search(t) else (" ",))) for t in texts]
-        # the first chunk has no space before it
-        firsts = self._encode([r[0] for r in rows])
+        uneven = _UNEVEN.search
+        rows = [_CUT.split(t) if uneven(t) else t.split(" ") for t in texts]
         chunks: set[str] = set()
+        firsts = []
         for r in rows:
-            chunks.update(r[1:])
-        long = self._learn(chunks)
-        get = self.young.__getitem__ if not long else lambda c: self.young[c] if c in self.young else long[c]
-        return [b"".join((first, *map(get, r[1:]))) for first, r in zip(firsts, rows)]
+            firsts.append(r[0])  # has no space before it
+            r[0] = "\0"
+            chunks.update(r)
+        chunks.discard("\0")
+        plain = [len(c) <= LONGEST and _PLAIN.fullmatch(c) is not None for c in firsts]
+        others = iter(self._encode([c for c, p in zip(firsts, plain) if not p]))
+        firsts = [self._plain(c, "") if p else next(others) for c, p in zip(firsts, plain)]
+        if long := self._learn(chunks):
+            get = lambda c: self.young[c] if c in self.young else long[c]
+        else:
+            get = self.young.__getitem__
+        out = []
+        for first, r in zip(firsts, rows):
+            del r[0]
+            out.append(first + b"".join(map(get, r)))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none), packed little-endian in ``self.width``."""
