@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,8 +159,6 @@ def words(text: Column) -> Column:
 
 
 def normalize_udf():
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(lists: pd.Series) -> pd.Series:
         known = lru_cache(maxsize=1 << 19)(normalize)
