@@ -159,7 +159,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     return Model(vectors, softmax, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """Trains on at most ``sample`` labelled documents of each kind among those that ``learn`` holds for."""
     marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_toxic")).where(learn & F.col("_toxic").isNotNull())
     marks = marks.groupBy("_key").agg(F.max("_toxic").alias("_toxic"))
@@ -168,13 +168,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     chosen = [marks.where(F.col("_toxic") == k).orderBy("_digest", "_key").limit(sample) for k in (0, 1)]
     few = chosen[0].unionByName(chosen[1])
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), F.col("_id") == F.col("_key"))
-    got = rows.select("_digest", "_toxic", F.coalesce("_text", F.lit("")).alias("_text")).toArrow()
-    order = sorted(range(len(got)), key=lambda i: (got["_digest"][i].as_py(), got["_text"][i].as_py()))
-    got = got.take(order)
-    return train(got["_text"].to_pylist(), np.array(got["_toxic"].to_pylist(), int) > 0)
+    sampled = rows.select("_digest", "_toxic", F.coalesce("_text", F.lit("")).alias("_text"))
+    # one task learns from the sample; only the weights come to the driver
+    learnt = sampled.coalesce(1).mapInArrow(_learn, "weight binary, bias double").first()
+    if learnt is None:
+        return Scorer(np.zeros(BUCKETS, np.float32), 0.0)
+    return Scorer(np.frombuffer(learnt["weight"], np.float32), learnt["bias"])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _learn(batches):
+    rows = sorted((d, t, int(y)) for b in batches for d, y, t in zip(*(c.to_pylist() for c in b.columns)))
+    if rows:
+        model = train([t for _, t, _ in rows], np.array([y for *_, y in rows]) > 0)
+        weight = pa.array([model.weight.astype(np.float32).tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([weight, pa.array([model.bias])], ["weight", "bias"])
+
+
+def score(docs: DataFrame, model: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (as doc_id) and score, for whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))  # 1 MB
 
