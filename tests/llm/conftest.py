@@ -50,8 +50,3 @@ def empty(spark):
 def rows(docs):
     """(doc_id, text, source) as plain rows."""
     return [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
-
-
-def same(df, other):
-    """As multisets of rows."""
-    return sorted(map(repr, df.collect())) == sorted(map(repr, other.collect()))
