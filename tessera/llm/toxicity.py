@@ -26,8 +26,10 @@ from tessera.llm.textbytes import _IS_SPACE, spaced
 BUCKETS = 1 << 18
 DIM = 16
 ORDERS = (3, 4, 5)
-WINDOW = 8
-SAMPLE = 1200
+WINDOW = 4
+#: Zero vectors that take part in every average, so that a window of a few letters says little.
+PAD = 16
+SAMPLE = 3000
 EPOCHS = 14
 
 
@@ -55,16 +57,17 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets or [none]), np.concatenate(owners or [none]), first
 
 
-def window_sums(values: np.ndarray, owners: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and number of n-grams in the window that starts at each word; windows end with their text."""
+def window_sums(sums: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words' sums and numbers of n-grams, those of the window that starts at each word; windows end
+    with their text."""
     n = int(first[-1])
     size = np.diff(first)
     end = np.minimum(np.arange(n) + WINDOW, np.repeat(first[1:], size))
     out = []
-    for x in (np.bincount(owners, values, n), np.bincount(owners, minlength=n)):
+    for x in (sums, counts):
         run = np.concatenate([[0], np.cumsum(x)])
         out.append(run[end] - run[:n])
-    return out[0], np.maximum(out[1], 1)
+    return out[0], out[1] + PAD
 
 
 class Scorer:
@@ -80,8 +83,8 @@ class Scorer:
         """Log odds of each text's worst window."""
         out = np.full(len(column), self.bias)
         buckets, owners, first = ngrams(column)
-        if int(first[-1]):
-            total, count = window_sums(self.weight[buckets], owners, first)
+        if n := int(first[-1]):
+            total, count = window_sums(np.bincount(owners, self.weight[buckets], n), np.bincount(owners, minlength=n), first)
             some = np.nonzero(np.diff(first))[0]
             out[some] += np.maximum.reduceat(total / count, first[some])
         return out
@@ -112,7 +115,17 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
             seen[int(toxic[lo + k]), np.unique(span)] += 1
         first += list(first[-1] + heads[1:])
     flat, ptr, first = np.concatenate(by_word), np.concatenate(pointer), np.array(first)
-    owners = np.repeat(np.arange(len(ptr) - 1, dtype=np.int32), np.diff(ptr))
+    del by_word
+    counts = np.diff(ptr)
+
+    def word_sums(weight: np.ndarray) -> np.ndarray:
+        """In pieces: the sample's n-grams are many."""
+        out = np.zeros(len(counts))
+        for lo in range(0, len(counts), 1 << 18):
+            n = counts[lo : lo + (1 << 18)]
+            out[lo : lo + len(n)] = np.bincount(np.repeat(np.arange(len(n)), n), weight[flat[ptr[lo] : ptr[lo + len(n)]]], len(n))
+        return out
+
     docs = np.nonzero(np.diff(first))[0]
     kind = toxic[docs]
     # windows are first chosen by how much more often toxic documents hold an n-gram
@@ -120,7 +133,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     weight = np.log(rate[1] / rate[0])
     step = {"v": np.full(BUCKETS, 1e-6, np.float32), "s": np.full_like(softmax, 1e-6), "b": np.full_like(bias, 1e-6)}
     for epoch in range(epochs):
-        total, count = window_sums(weight[flat], owners, first)
+        total, count = window_sums(word_sums(weight), counts, first)
         odds = total / count
         worst = np.maximum.reduceat(odds, first[docs])
         size = np.diff(first)[docs]
@@ -139,13 +152,14 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
                 continue
             heads = np.cumsum(n) - n
             ids = flat[np.repeat(lo[part] - heads, n) + np.arange(n.sum())]
-            mean = np.add.reduceat(vectors[ids], heads) / n[:, None]
+            weigh = (n + PAD)[:, None]
+            mean = np.add.reduceat(vectors[ids], heads) / weigh
             z = mean @ softmax + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), label[part].astype(int)] -= 1
             g_soft, g_bias = mean.T @ p / len(part), p.mean(axis=0)
-            g_mean = (p @ softmax.T) / n[:, None]
+            g_mean = (p @ softmax.T) / weigh
             unique, back = np.unique(ids, return_inverse=True)
             g = np.zeros((len(unique), DIM), np.float32)
             np.add.at(g, back, np.repeat(g_mean, n, axis=0).astype(np.float32))
