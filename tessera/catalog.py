@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +15,10 @@ from tessera.engine import Engine
 from tessera.functions import analysis
 from tessera.functions.analysis import Analyzer
 from tessera.functions.ranking import Bm25
-from tessera.operators.index import BLOCK_SIZE, Index, build
+from tessera.operators.index import Index, build
 from tessera.plans.planner import Searcher, phrase_by_join
 from tessera.sources import crawl, store
-from tessera.sources.files import shared_folder
+from tessera.sources.files import Files, shared_folder
 from tessera.streaming.service import SearchService
 
 FLAGSHIP = "attion anea eriner"
@@ -207,25 +206,23 @@ def results_json(spark, sf_dir):
 TREE = {"rust.md": "# Rust\n\nRust has no collector.", "nested/go.txt": "Go has goroutines and a collector.", "photo.png": "x", ".git/HEAD.txt": "ref", "a/b.md": "first", "a-b.md": "second"}
 
 
-def _tree() -> str:
-    root = tempfile.mkdtemp(prefix="tessera-tree-")
+def _tree(spark: SparkSession) -> str:
+    """A small tree, written to the shared folder."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    files = Files(spark, root)
     for name, text in TREE.items():
-        path = os.path.join(root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w") as f:
-            f.write(text)
+        files.write(f"{root}/{name}", text)
     return root
 
 
 def crawl_directory(spark, sf_dir):
-    """A small tree made for the purpose; only fit for one machine, as is its folder."""
-    root = _tree()
-    return crawl.read_tree(spark, root).select("doc_id", F.replace("uri", F.lit(root + "/"), F.lit("")).alias("uri"), "title")
+    root = _tree(spark)
+    return crawl.read_tree(spark, root).select("doc_id", F.replace("uri", F.lit(urlparse(root).path + "/"), F.lit("")).alias("uri"), "title")
 
 
 def generation_swap(spark, sf_dir):
     """Hits of the generation that was served first, after another was published."""
-    root = _tree()
+    root = _tree(spark)
     service = SearchService(spark, f"{shared_folder(spark)}/service-{uuid.uuid4().hex}")
     service.reindex(root)
     held = service.snapshot()
