@@ -33,11 +33,31 @@ from tessera.llm.tokens import tokenizer
 
 MAGIC = b"TESSWM01"
 BLOCK = 512
+STEP = 1 << 16
 #: Bytes of text a shard is meant to hold.
 SHARD_BYTES = 16 << 20
 _HEAD = struct.Struct("<8sQQQ")
 
 
+def _split(order: np.ndarray, mask: np.generic) -> tuple[np.ndarray, np.ndarray]:
+    """A plane's bits, padded to whole blocks, and the order that it leaves: in steps that stay in cache."""
+    n = len(order)
+    packed, ones = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8), []
+    out, at = np.empty_like(order), 0
+    for lo in range(0, n, STEP):
+        x = order[lo : lo + STEP]
+        bit = (x & mask) != 0
+        packed[lo // 8 : lo // 8 + -(-len(x) // 8)] = np.packbits(bit, bitorder="little")
+        ones.append(x.take(np.flatnonzero(bit)))
+        zero = x.take(np.flatnonzero(~bit))
+        out[at : at + len(zero)] = zero
+        at += len(zero)
+    for x in ones:
+        out[at : at + len(x)] = x
+        at += len(x)
+    return packed, out
+
+
 def write(path: str, ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, starts: np.ndarray) -> None:
     """``starts``: one more than documents."""
     n = len(ids)
@@ -45,13 +65,10 @@ def write(path: str, ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, st
     zeros, planes = np.zeros(levels, np.int64), []
     order = ids
     for k in range(levels):
-        bit = (order >> (levels - 1 - k)) & 1 != 0
-        packed = np.packbits(bit, bitorder="little")
-        packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
+        packed, order = _split(order, order.dtype.type(1 << (levels - 1 - k)))
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
         counts = np.concatenate([[0], np.cumsum(ones, dtype=np.uint32)]).astype(np.uint32)
         planes += [packed, counts]
-        order = np.concatenate([order[~bit], order[bit]])
         zeros[k] = n - int(counts[-1])
     parts = [zeros, doc_ids.astype("<i8"), known.astype(np.uint8), starts.astype("<i8"), *planes]
     scratch = f"{path}.{uuid.uuid4().hex}"
@@ -85,9 +102,6 @@ class WaveletMatrix:
         blocks = -(-self.n // BLOCK)
         self.planes = [(take(np.uint8, blocks * BLOCK // 8), take("<u4", blocks + 1)) for _ in range(self.levels)]
 
-    def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level][0], bitorder="little", count=self.n).view(bool)
-
     def _rank(self, level: int, at: np.ndarray | int) -> np.ndarray:
         """Ones before ``at``."""
         plane, counts = self.planes[level]
@@ -149,10 +163,15 @@ class WaveletMatrix:
         """Every id, in order."""
         out = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for k in reversed(range(self.levels)):
-            bit, z = self._bits(k), int(self.zeros[k])
-            up = np.empty_like(out)
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | out.dtype.type(1 << (self.levels - 1 - k))
+            plane, up = self.planes[k][0], np.empty_like(out)
+            a, b, own = 0, int(self.zeros[k]), out.dtype.type(1 << (self.levels - 1 - k))
+            for lo in range(0, self.n, STEP):
+                size = min(STEP, self.n - lo)
+                bit = np.unpackbits(plane[lo // 8 : lo // 8 + -(-size // 8)], bitorder="little", count=size).view(bool)
+                one, zero, x = np.flatnonzero(bit), np.flatnonzero(~bit), up[lo : lo + size]
+                x[zero] = out[a : a + len(zero)]
+                x[one] = out[b : b + len(one)] | own
+                a, b = a + len(zero), b + len(one)
             out = up
         return out
 
