@@ -17,11 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 
-GENERATION = 300_000
-PIECES = 800_000
+GENERATION = 150_000
+PIECES = 350_000
 LONGEST = 64
-#: Chunks are gathered over so many characters of text before the unknown ones are encoded together.
-GATHER = 1_000_000
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,;:!?()|"#*$%&>@/+=_\[\]{}~^`\\\-'
 #: Such a chunk splits into pre-tokens the same way under either vocabulary's pattern.
 _PLAIN = re.compile(rf"[{_MARKS}]*[{_LETTERS}]*[{_MARKS}]*(?:\n[{_MARKS}]*[{_LETTERS}]*[{_MARKS}]*)?")
@@ -30,6 +28,17 @@ _UNEVEN = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 
+class _Young(dict):
+    """Chunks by text; asks its owner for those it lacks."""
+
+    def __init__(self, owner: ChunkTokenizer):
+        self.owner = owner
+        self[""] = b""
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.owner.learn(chunk)
+
+
 class ChunkTokenizer:
     """``lead``: a chunk's own leading space takes part in its ids (byte-level vocabularies)."""
 
@@ -39,7 +48,7 @@ class ChunkTokenizer:
 
         self.tokenizer, self.lead = Tokenizer.from_file(path), " " if lead else ""
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
+        self.young = _Young(self)
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
@@ -71,65 +80,36 @@ class ChunkTokenizer:
         known, new = self.pieces, self._piece
         return b"".join([known.get(p) or new(p) for p in self.find(lead + (chunk if self.lead else chunk.lower()))])
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Makes the young generation know ``chunks``; those too long to be kept are returned."""
-        young, old, lead = self.young, self.old, self.lead
-        new = chunks - young.keys()
-        if len(young) + len(new) > GENERATION:
-            self.old, self.young = old, young = young, {}
-            new = chunks
-        plain, ask, passing = _PLAIN.fullmatch, [], {}
-        for c in new:
-            if (ids := old.get(c)) is not None:
-                young[c] = ids
-            elif len(c) > LONGEST:
-                ask.append(c)
-            elif c.isalpha() and c.isascii():
-                p = lead + c if lead else c.lower()
-                young[c] = self.pieces.get(p) or self._piece(p)
-            elif plain(c):
-                young[c] = self._plain(c, lead)
+    def learn(self, c: str) -> bytes:
+        """The ids of a chunk that the young generation doesn't hold; short ones are kept."""
+        ids = self.old.get(c)
+        if ids is None:
+            if len(c) > LONGEST:
+                return self._encode([self.lead + c])[0]
+            if c.isalpha() and c.isascii():
+                p = self.lead + c if self.lead else c.lower()
+                ids = self.pieces.get(p) or self._piece(p)
+            elif _PLAIN.fullmatch(c):
+                ids = self._plain(c, self.lead)
             else:
-                ask.append(c)
-        for c, ids in zip(ask, self._encode([lead + c for c in ask])):
-            (young if len(c) <= LONGEST else passing)[c] = ids
-        return passing
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        uneven = _UNEVEN.search
-        rows = [_CUT.split(t) if uneven(t) else t.split(" ") for t in texts]
-        chunks: set[str] = set()
-        firsts = []
-        for r in rows:
-            firsts.append(r[0])  # has no space before it
-            r[0] = "\0"
-            chunks.update(r)
-        chunks.discard("\0")
-        plain = [len(c) <= LONGEST and _PLAIN.fullmatch(c) is not None for c in firsts]
-        others = iter(self._encode([c for c, p in zip(firsts, plain) if not p]))
-        firsts = [self._plain(c, "") if p else next(others) for c, p in zip(firsts, plain)]
-        if long := self._learn(chunks):
-            get = lambda c: self.young[c] if c in self.young else long[c]
-        else:
-            get = self.young.__getitem__
-        out = []
-        for first, r in zip(firsts, rows):
-            del r[0]
-            out.append(first + b"".join(map(get, r)))
-        return out
+                ids = self._encode([self.lead + c])[0]
+        self.young[c] = ids
+        return ids
+
+    def _text(self, text: str) -> bytes:
+        chunks = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        first, chunks[0] = chunks[0], ""  # has no space before it
+        head = self._plain(first, "") if len(first) <= LONGEST and _PLAIN.fullmatch(first) else self._encode([first])[0]
+        return head + b"".join(map(self.young.__getitem__, chunks))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none), packed little-endian in ``self.width``."""
-        out: list[bytes] = []
-        group, chars = [], 0
+        out = []
         for t in texts:
-            t = t or ""
-            group.append(t)
-            chars += len(t)
-            if chars >= GATHER:
-                out += self._group(group)
-                group, chars = [], 0
-        return out + self._group(group) if group else out
+            if len(self.young) > GENERATION:
+                self.old, self.young = self.young, _Young(self)
+            out.append(self._text(t) if t else b"")
+        return out
 
 
 @lru_cache(maxsize=4)
