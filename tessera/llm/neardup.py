@@ -11,7 +11,8 @@ connected components of the verified pairs.
 Nodes are read as a sorted stream in bounded buffers, so a family of near copies of any size is one
 stream and not one group. In a node of more than ``BLOCK`` texts at full depth, deeper prefixes
 separate blocks; successive blocks overlap. Pairs inside a node whose SimHashes nearly agree are
-represented by a spanning forest: verification of its edges joins the same texts.
+represented by a spanning forest. Where verification breaks one of its edges, a second pass takes the
+texts of both sides and tries every near pair in a node that verified pairs have not joined yet.
 
 Nulls and edges: null and empty texts are each other's copies; a text without words has no shingles and
 only its exact copies as class; one of fewer than five words has them all as its one shingle. A null id
@@ -112,7 +113,7 @@ def _plant(tries: int, prefix: int):
                     node = (key >> np.uint64(64 - prefix)).astype(np.int64) * tries + t
                     # signed, so that Spark sorts as unsigned would
                     cols = [pa.array(node), pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), *part.columns]
-                    yield pa.RecordBatch.from_arrays(cols, ["node", "key", "digest", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays(cols, ["node", "key", *part.schema.names])
 
     return run
 
@@ -125,10 +126,10 @@ def _common(key: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(x).astype(np.int64)
 
 
-def runs(common: np.ndarray, prefix: int, depth: int) -> np.ndarray:
+def runs(common: np.ndarray, prefix: int, depth: int, deepest: int = 64) -> np.ndarray:
     """First rows of the nodes to compare in, for sorted keys with ``common`` bits between neighbours."""
     cut_at = common < prefix
-    for d in range(prefix + 1, 65):
+    for d in range(prefix + 1, deepest + 1):
         most = NODE if d <= depth else BLOCK
         run = np.concatenate([[0], np.cumsum(cut_at)])
         big = np.bincount(run)[run] > most
@@ -210,14 +211,37 @@ def near_pairs(s: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([ta, a[other]]), np.concatenate([tb, b[other]])
 
 
+def near_across(s: np.ndarray, begins: np.ndarray, label: np.ndarray):
+    """Places (a, b), piece by piece, of every pair in the runs that begin at ``begins`` whose SimHashes
+    are near and whose labels differ."""
+    n = len(s)
+    run = np.zeros(n, np.int64)
+    run[begins[1:]] = 1
+    run = np.cumsum(run)
+    order = np.lexsort((label, run))
+    s, label = s[order], label[order]
+    first = np.concatenate([[0], np.nonzero((np.diff(label) != 0) | (np.diff(run) != 0))[0] + 1])
+    after = np.append(first[1:], n)
+    lo, hi, stop = np.arange(n), np.repeat(after, after - first), np.append(begins[1:], n)[run]
+    while True:
+        keep = hi < stop
+        lo, hi, stop = lo[keep], hi[keep], stop[keep]
+        if not len(lo):
+            return
+        x = s[lo] ^ s[hi]
+        hit = np.bitwise_count(x[:, 0]) + np.bitwise_count(x[:, 1]) <= FAR
+        yield order[lo[hit]], order[hi[hit]]
+        hi = hi + 1
+
+
+def _sorted_keys(t) -> tuple[np.ndarray, np.ndarray]:
+    """Leading bits in common between neighbours (none between nodes), and the SimHashes."""
+    common = _common(t["key"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
+    common[np.diff(t["node"].to_numpy()) != 0] = 0
+    return common, np.stack([t["s0"].to_numpy(), t["s1"].to_numpy()], axis=1).view(np.uint64)
+
+
 def _climb(prefix: int, depth: int):
-    def pairs(node, key, digest, s):
-        change = np.nonzero(np.diff(node))[0] + 1
-        common = _common(key)
-        common[change - 1] = 0
-        a, b = near_pairs(s, runs(common, prefix, depth))
-        da, db = digest.take(pa.array(a)), digest.take(pa.array(b))
-        return pa.RecordBatch.from_arrays([da, db], ["a", "b"])
 
     def run(batches):
         held = None
@@ -236,9 +260,54 @@ def _climb(prefix: int, depth: int):
 
     def emit(t):
         t = t.combine_chunks()
-        key = t["key"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-        s = np.stack([t["s0"].to_numpy(), t["s1"].to_numpy()], axis=1).view(np.uint64)
-        return pairs(t["node"].to_numpy(), key, t["digest"].chunk(0), s)
+        common, s = _sorted_keys(t)
+        a, b = near_pairs(s, runs(common, prefix, depth))
+        sure = np.bitwise_count(s[a] ^ s[b]).sum(axis=1) <= SURE
+        digest = t["digest"].chunk(0)
+        return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b)), pa.array(sure)], ["a", "b", "sure"])
+
+    return run
+
+
+def _across(prefix: int, depth: int):
+    """Near pairs of different labels; a node is held whole (its sketches, not its texts)."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BUFFER:
+                t = pa.Table.from_batches(held)
+                last = np.nonzero(np.diff(t["node"].to_numpy()))[0]
+                stop = int(last[-1]) + 1 if len(last) else 0
+                if stop:
+                    yield from emit(t.slice(0, stop))
+                held = t.slice(stop).to_batches()
+                # a node beyond the buffer is looked at again when it has doubled
+                rows = 0 if not stop else t.num_rows - stop
+        if held:
+            t = pa.Table.from_batches(held)
+            if t.num_rows:
+                yield from emit(t)
+
+    def emit(t):
+        t = t.combine_chunks()
+        common, s = _sorted_keys(t)
+        digest, label = t["digest"].chunk(0), t["label"].chunk(0).dictionary_encode().indices.to_numpy()
+        found, size = [], 0
+        for piece in near_across(s, runs(common, prefix, depth, depth), label):
+            found.append(piece)
+            size += len(piece[0])
+            if size >= BUFFER:
+                yield taken(digest, found)
+                found, size = [], 0
+        if size:
+            yield taken(digest, found)
+
+    def taken(digest, found):
+        a, b = (pa.array(np.concatenate(x)) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([digest.take(a), digest.take(b)], ["a", "b"])
 
     return run
 
@@ -288,6 +357,18 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float) -> Dat
     return both.mapInArrow(_verify(similarity), "a binary, b binary")
 
 
+def _unsettled(sketches: DataFrame, pairs: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
+    """Sketches, each with the class so far as ``label``, of the texts whose pairs a spanning tree has
+    stood for although one of its edges failed. Each part of such a tree ends at a failed edge, so these
+    are the classes on both sides of all failed edges."""
+    failed = pairs.where("sure").join(links, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        failed = failed.join(of.withColumnsRenamed({"digest": side, "root": f"{side}_root"}), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    broken = failed.where(F.col("a_root") != F.col("b_root")).select(F.explode(F.array("a_root", "b_root")).alias("label")).distinct()
+    labelled = sketches.join(of, "digest", "left").select("digest", "s0", "s1", F.coalesce("root", "digest").alias("label"))
+    return labelled.join(broken, "label", "left_semi").select("digest", "s0", "s1", "label")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row a document: doc_id, class_id (the least id in its class), class_size, n_texts (distinct
     texts in the class)."""
@@ -299,10 +380,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     depth, tries = forest_shape(sketches.count(), similarity, recall)
     prefix = depth - 4
     planted = sketches.mapInArrow(_plant(tries, prefix), "node long, key long, digest binary, s0 long, s1 long")
-    near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(_climb(prefix, depth), "a binary, b binary")
-    pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified_pairs(texts, pairs, similarity)
+    near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(_climb(prefix, depth), "a binary, b binary, sure boolean")
+    pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct())
+    links = cut(verified_pairs(texts, pairs.select("a", "b"), similarity))
     of = components(links).select(F.col("node").alias("digest"), "root")
+    again = cut(_unsettled(sketches, pairs, links, of))
+    if again.limit(1).count():
+        planted = again.mapInArrow(_plant(tries, prefix), "node long, key long, digest binary, s0 long, s1 long, label binary")
+        near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(_across(prefix, depth), "a binary, b binary")
+        more = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        links = links.unionByName(verified_pairs(texts, more, similarity))
+        of = components(links).select(F.col("node").alias("digest"), "root")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     named = copies.join(of, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     sized = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
