@@ -8,11 +8,13 @@ finds the target share of pairs at the threshold; sparse regions thus climb to s
 in a node whose SimHashes are near enough are verified on their shingle sets, and classes are the
 connected components of the verified pairs.
 
-Nodes are read as a sorted stream in bounded buffers, so a family of near copies of any size is one
-stream and not one group. In a node of more than ``BLOCK`` texts at full depth, deeper prefixes
-separate blocks; successive blocks overlap. Pairs inside a node whose SimHashes nearly agree are
-represented by a spanning forest. Where verification breaks one of its edges, a second pass takes the
-texts of both sides and tries every near pair in a node that verified pairs have not joined yet.
+Nodes are first read as a sorted stream in bounded buffers. In a node of more than ``BLOCK`` texts at
+full depth, deeper prefixes separate blocks; successive blocks overlap. Pairs inside a node whose
+SimHashes nearly agree are represented by a spanning forest. A second pass then does without these
+cuts: it takes the texts of nodes that were split below full depth or at a buffer's end, and those of
+both sides of each edge that verification broke, and tries every near pair in a node that verified
+pairs have not joined yet. It holds a node's sketches whole; in a node of many texts that nothing
+joins, its work grows with the square of their number.
 
 Nulls and edges: null and empty texts are each other's copies; a text without words has no shingles and
 only its exact copies as class; one of fewer than five words has them all as its one shingle. A null id
@@ -241,28 +243,35 @@ def _sorted_keys(t) -> tuple[np.ndarray, np.ndarray]:
     return common, np.stack([t["s0"].to_numpy(), t["s1"].to_numpy()], axis=1).view(np.uint64)
 
 
-def _climb(prefix: int, depth: int):
+def _climb(prefix: int, depth: int, buffer: int = BUFFER):
 
     def run(batches):
-        held = None
+        held = parted = None  # parted: the node that the last buffer ended in
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            while held.num_rows >= BUFFER:
-                node = held["node"].to_numpy()[:BUFFER]
+            while held.num_rows >= buffer:
+                node = held["node"].to_numpy()[:buffer]
                 last = np.nonzero(np.diff(node))[0]
                 # up to the last whole node; inside one node, with an overlap
-                stop = int(last[-1]) + 1 if len(last) else BUFFER
-                yield emit(held.slice(0, stop))
+                stop = int(last[-1]) + 1 if len(last) else buffer
+                if not len(last):
+                    parted = node[0]
+                yield emit(held.slice(0, stop), parted)
                 held = held.slice(stop if len(last) else stop - OVERLAP)
         if held is not None and held.num_rows:
-            yield emit(held)
+            yield emit(held, parted)
 
-    def emit(t):
+    def emit(t, parted):
         t = t.combine_chunks()
         common, s = _sorted_keys(t)
         a, b = near_pairs(s, runs(common, prefix, depth))
-        sure = np.bitwise_count(s[a] ^ s[b]).sum(axis=1) <= SURE
+        # a text of a node that is not compared whole is a pair with itself
+        begins = runs(common, prefix, depth, depth)
+        sizes = np.diff(np.append(begins, len(s)))
+        alone = np.nonzero((np.repeat(sizes, sizes) > BLOCK) | (t["node"].to_numpy() == parted if parted is not None else False))[0]
+        a, b = np.concatenate([a, alone]), np.concatenate([b, alone])
+        sure = (np.bitwise_count(s[a] ^ s[b]).sum(axis=1) <= SURE) & (a != b)
         digest = t["digest"].chunk(0)
         return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b)), pa.array(sure)], ["a", "b", "sure"])
 
@@ -358,15 +367,17 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float) -> Dat
 
 
 def _unsettled(sketches: DataFrame, pairs: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
-    """Sketches, each with the class so far as ``label``, of the texts whose pairs a spanning tree has
-    stood for although one of its edges failed. Each part of such a tree ends at a failed edge, so these
-    are the classes on both sides of all failed edges."""
+    """Sketches, each with the class so far as ``label``, of the texts in nodes that were not compared
+    whole (pairs with themselves), and of those whose pairs a spanning tree has stood for although one
+    of its edges failed. Each part of such a tree ends at a failed edge, so these are the classes on
+    both sides of all failed edges."""
     failed = pairs.where("sure").join(links, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         failed = failed.join(of.withColumnsRenamed({"digest": side, "root": f"{side}_root"}), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
     broken = failed.where(F.col("a_root") != F.col("b_root")).select(F.explode(F.array("a_root", "b_root")).alias("label")).distinct()
     labelled = sketches.join(of, "digest", "left").select("digest", "s0", "s1", F.coalesce("root", "digest").alias("label"))
-    return labelled.join(broken, "label", "left_semi").select("digest", "s0", "s1", "label")
+    parted = labelled.join(pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("digest")), "digest", "left_semi")
+    return labelled.join(broken, "label", "left_semi").select(parted.columns).unionByName(parted).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -382,7 +393,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     planted = sketches.mapInArrow(_plant(tries, prefix), "node long, key long, digest binary, s0 long, s1 long")
     near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(_climb(prefix, depth), "a binary, b binary, sure boolean")
     pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct())
-    links = cut(verified_pairs(texts, pairs.select("a", "b"), similarity))
+    links = cut(verified_pairs(texts, pairs.where(F.col("a") != F.col("b")).select("a", "b"), similarity))
     of = components(links).select(F.col("node").alias("digest"), "root")
     again = cut(_unsettled(sketches, pairs, links, of))
     if again.limit(1).count():

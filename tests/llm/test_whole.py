@@ -1,5 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
+import pyarrow as pa
+
 from tessera.llm import neardup
 
 
@@ -25,3 +28,33 @@ def test_broken_trees_are_tried_again(spark):
     assert jaccard(texts[0], texts[2]) >= 0.8 > max(jaccard(texts[0], texts[1]), jaccard(texts[1], texts[2]))
     got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {(r["doc_id"], r["class_id"]) for r in got.collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
+def test_nodes_beyond_a_block_are_compared_whole():
+    """Every near pair of a family at full depth, in one node, is tried or stands between texts of one label."""
+    rng = np.random.default_rng(4)
+    n, depth, prefix, tries = 2500, 13, 9, 1
+    perm = neardup.orders(tries)[0]
+    bits = (rng.random((n, neardup.BITS)) < 0.1).astype(np.uint8)
+    bits[:, perm[:depth]] = 0
+    s = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    far = np.bitwise_count(s[:, None, :] ^ s[None, :, :]).sum(axis=2)
+    want = {(i, j) for i, j in zip(*np.nonzero(far <= 15)) if i < j}  # far closer than pairs at 0.8 on average
+    digest = pa.array([i.to_bytes(16, "big") for i in range(n)])
+    sketches = pa.RecordBatch.from_arrays([digest, pa.array(s[:, 0].view(np.int64)), pa.array(s[:, 1].view(np.int64))], ["digest", "s0", "s1"])
+
+    def planted(batch):
+        return [pa.Table.from_batches(neardup._plant(tries, prefix)([batch])).sort_by([("node", "ascending"), ("key", "ascending")]).combine_chunks().to_batches()[0]]
+
+    def places(out):
+        return [tuple(sorted(int.from_bytes(x, "big") for x in p)) for t in out for p in zip(t["a"].to_pylist(), t["b"].to_pylist())]
+
+    def tried(**how):
+        first = places(neardup._climb(prefix, depth, **how)(planted(sketches)))
+        parted = {i for i, j in first if i == j}
+        rest = sketches.append_column("label", digest).filter(pa.array([i in parted for i in range(n)]))
+        return {p for p in first if p[0] != p[1]} | set(places(neardup._across(prefix, depth)(planted(rest)))) if parted else set(first)
+
+    assert want - tried() == set()
+    sketches, want, n, digest = sketches.slice(0, 1500), {p for p in want if p[1] < 1500}, 1500, digest.slice(0, 1500)
+    assert want - tried(buffer=600) == set()
