@@ -380,11 +380,13 @@ def _unsettled(sketches: DataFrame, pairs: DataFrame, links: DataFrame, of: Data
     return labelled.join(broken, "label", "left_semi").select(parted.columns).unionByName(parted).distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """A row a document: doc_id, class_id (the least id in its class), class_size, n_texts (distinct
-    texts in the class)."""
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
+
+
+def _named(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """A row a distinct text: digest, its least doc_id, n (rows) and root, which names its class."""
     texts = rows.select("digest", "text")
     sketched = texts.mapInArrow(_sketch, "digest binary, s0 long, s1 long")
     sketches = cut(sketched.groupBy("digest").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")))
@@ -403,17 +405,31 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         links = links.unionByName(verified_pairs(texts, more, similarity))
         of = components(links).select(F.col("node").alias("digest"), "root")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    named = copies.join(of, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    return copies.join(of, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """A row a document: doc_id, class_id (the least id in its class), class_size, n_texts (distinct
+    texts in the class)."""
+    rows = _rows(docs, key, text)
+    named = _named(rows, similarity, recall)
     sized = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
     by_text = named.select("digest", "root").join(sized, "root").drop("root")
     return rows.select("doc_id", "digest").join(by_text, "digest").drop("digest")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id."""
-    kept = classes(docs, key, text, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).groupBy("_kept").agg(F.count("*").alias("_rows"))
-    kept = cut(kept)
-    out = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.where((F.col("_rows") > 1) | F.col("_kept").isNull()).limit(1).count():
-        out = out.dropDuplicates([key])
-    return out
+    """``docs`` with one row of each class: that of the least id, among several of the least digest."""
+    named = _named(_rows(docs, key, text), similarity, RECALL)
+    # nulls last: a null id stands for its class only where there is no other
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    kept = named.groupBy("root").agg(F.min(first).alias("k"), F.min_by("n", first).alias("n"))
+    kept = cut(kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.digest").alias("_digest"), (F.col("n") > 1).alias("_copies")))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+    def of(keep: DataFrame) -> DataFrame:
+        return docs.join(keep, F.col(key).cast("long").eqNullSafe(F.col("_kept")) & (digest == F.col("_digest")), "left_semi")
+
+    # a text that stands in one row needs no more; of one in several rows, the id may be repeated too
+    copies = of(kept.where("_copies")).withColumn("_digest", digest)
+    return of(kept.where(~F.col("_copies"))).unionByName(copies.dropDuplicates(["_digest"]).drop("_digest"))

@@ -58,3 +58,12 @@ def test_nodes_beyond_a_block_are_compared_whole():
     assert want - tried() == set()
     sketches, want, n, digest = sketches.slice(0, 1500), {p for p in want if p[1] < 1500}, 1500, digest.slice(0, 1500)
     assert want - tried(buffer=600) == set()
+
+
+def test_deduplicate_keeps_a_row_of_each_class(spark):
+    """Unrelated texts under null ids and under one id, and copies of such a text under other ids."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (7, texts[5]), (3, texts[5]), (9, texts[6]), (None, texts[6]), (None, texts[6]), (None, texts[7]), (None, texts[7])]
+    out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (3, texts[5]), (9, texts[6]), (None, texts[7])]
+    assert sorted(map(repr, (tuple(r) for r in out))) == sorted(map(repr, want))
