@@ -2,18 +2,19 @@
 
 The guess cost of a value is the least, over its segmentations, of the product of each span's guesses:
 a common word (with capitals and look-alike digits), a date, a repeat, a keyboard or alphabet walk, or
-brute force. It is found by dynamic programming over the value's end places. Values behind a word for
+brute force. It is found by shortest paths over the value's end places. Values behind a word for
 a credential that the patterns do not take, and that cost at least ``MIN_LOG10`` to guess, are added.
 
 Spans are (kind, start, end) in code points, end exclusive. ``assign`` spans cover the whole match.
 Nulls and edges: a null or empty text has no spans. Repeated rows are scanned each on its own. Whole
-texts are scanned, however long; only a value's first ``LONGEST`` characters are priced, which already
-cost more than any threshold. An empty table gives no rows. Other columns are not looked at.
+texts are scanned and whole values priced, however long; pricing stops early only once no segmentation
+can stay below the threshold. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from functools import lru_cache
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 8.0
 MIN_LENGTH = 8
-LONGEST = 128
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A word for a credential, some joining words or signs, and a value of printable ASCII.
 CONTEXT = re.compile(
     r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret)\b"""
-    r"""["']?\s{0,3}(?:(?:is|was)\s{1,3}|[:=]{1,2}>?\s{0,3}(?:bearer\s{1,3})?)["'`]?([!-~]{8,256})""",
+    r"""["']?\s{0,3}(?:(?:is|was)\s{1,3}|[:=]{1,2}>?\s{0,3}(?:bearer\s{1,3})?)["'`]?([!-~]{8,})""",
     re.I | re.A,
 )
 _HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.I | re.A)
@@ -65,46 +65,76 @@ def _variants(part: str) -> float:
     return n * 2 ** sum(c in "@4301!5$7" for c in part)
 
 
-@lru_cache(maxsize=1 << 16)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation needs."""
-    value = value[:LONGEST]
-    n, lower = len(value), value.lower()
+@lru_cache(maxsize=1 << 12)
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation needs; of a costlier one than ``enough``, a
+    lower bound that is at least ``enough``."""
+    n = len(value)
+    lower = "".join(low if len(low := c.lower()) == 1 else c for c in value)
     plain = lower.translate(_LEET)
     kinds = (str.islower, 26), (str.isupper, 26), (str.isdigit, 10)
-    alphabet = sum(size for test, size in kinds if any(map(test, value))) + 33 * any(not c.isalnum() for c in value)
+    alphabet = sum(size for test, size in kinds if any(map(test, value))) + 33 * any(not any(test(c) for test, _ in kinds) for c in value)
     alone = _log(max(alphabet, 10))
-    spans: dict[int, list[tuple[int, float]]] = {}  # by end: (start, cost)
-
-    def add(i: int, j: int, guesses: float) -> None:
-        spans.setdefault(j, []).append((i, _log(guesses)))
-
-    for i in range(n):
+    best, settled, heap = {0: 0.0}, set(), [(0.0, 0)]
+    origin: dict[tuple[int, int], int] = {}  # (width, place): where its run of repeats or its walk began
+
+    def begun(width: int, i: int) -> int:
+        """The first place of the repeats of this width that i continues; of the walk, for width 0."""
+        at, passed = i, []
+        while (width, at) not in origin:
+            passed.append(at)
+            back = at - (width or 1)
+            if back < 0 or (value[back:at] != value[at : at + width] if width else lower[back : at + 1] not in _NEXT):
+                break
+            at = back
+        first = origin.get((width, at), at)
+        origin.update(((width, k), first) for k in passed)
+        return first
+
+    def dominated(width: int, i: int, least: int) -> bool:
+        """Whether a span from where the run began to any end costs no more than one from i."""
+        r = begun(width, i)
+        return r < i and r in settled and best[r] + _log((i - r + least) / least) <= best[i]
+
+    while heap:
+        cost, i = heapq.heappop(heap)
+        if i in settled:
+            continue
+        # whatever is still to come goes through a place that costs as much
+        if i == n or cost >= enough:
+            return cost
+        settled.add(i)
+        # a boundary between spans is itself to be guessed
+        joint = 0.3 if i else 0.0
+
+        def reach(j: int, more: float) -> None:
+            if cost + more < best.get(j, math.inf):
+                best[j] = cost + more
+                heapq.heappush(heap, (best[j], j))
+
+        reach(i + 1, alone)
         for j in range(i + 3, min(n, i + 14) + 1):
             for text in {lower[i:j], plain[i:j]}:
                 if rank := RANK.get(text):
-                    add(i, j, rank * _variants(value[i:j]) + 1)
-        for m in (_DATE.match(value, i),):
-            if m:
-                add(i, m.end(), 365.0 * 120 * (4 if m.group(1) or m.group(2) else 1) if m.end() - i > 4 else 120)
-        j = i + 1
-        while j < n and lower[j - 1 : j + 1] in _NEXT:
-            j += 1
-            if j - i >= 3:
-                add(i, j, 40.0 * (j - i))
+                    reach(j, joint + _log(rank * _variants(value[i:j]) + 1))
+        if m := _DATE.match(value, i):
+            reach(m.end(), joint + _log(365.0 * 120 * (4 if m.group(1) or m.group(2) else 1) if m.end() - i > 4 else 120))
+        if lower[i : i + 2] in _NEXT and not dominated(0, i, 3):
+            j = i + 1
+            while j < n and lower[j - 1 : j + 1] in _NEXT:
+                j += 1
+                if j - i >= 3:
+                    reach(j, joint + _log(40.0 * (j - i)))
         for width in (1, 2, 3, 4):
             j = i + width
+            # a part that itself repeats a shorter one is cheaper as repeats of that
+            if value[i:j] != value[j : j + width] or value[i] * width == value[i:j] and width > 1 or width == 4 and value[i : i + 2] == value[i + 2 : j] or dominated(width, i, max(3, 2 * width)):
+                continue
             while value[i : i + width] == value[j : j + width] and j + width <= n:
                 j += width
                 if j - i >= 3:
-                    spans.setdefault(j, []).append((i, alone * width + _log((j - i) / width)))
-    best = [0.0] + [math.inf] * n
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + alone
-        for i, cost in spans.get(j, ()):
-            # a boundary between spans is itself to be guessed
-            best[j] = min(best[j], best[i] + cost + (0.3 if i else 0.0))
-    return best[n]
+                    reach(j, joint + alone * width + _log((j - i) / width))
+    return 0.0
 
 
 _TRIM = "\"'`,;)]}>."
@@ -130,7 +160,7 @@ def guessed_spans(text: str, taken: list[tuple[int, int, int]], least: float = M
         # plain words are prose that follows the context word, not a value
         if value.isalpha() and (value.islower() or value.istitle()):
             continue
-        if guess_cost(value) >= least:
+        if guess_cost(value, least) >= least:
             out.append((a, 3, b))
     return out
 

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import neardup
+from tessera.llm import neardup, secrets
 
 
 def shingled(text):
@@ -67,3 +69,18 @@ def test_deduplicate_keeps_a_row_of_each_class(spark):
     out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (3, texts[5]), (9, texts[6]), (None, texts[7])]
     assert sorted(map(repr, (tuple(r) for r in out))) == sorted(map(repr, want))
+
+
+# -- 10 --------------------------------------------------------------------------
+def guessed(text):
+    return [text[a:b] for a, k, b in secrets.find(text)[1] if k == 3]
+
+
+def test_values_are_taken_and_priced_whole():
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(600))
+    assert guessed(f"Authorization: Bearer {long} end") == [long]
+    late = "z" * 300 + long[:40]
+    assert guessed(f"auth: {late} end") == [late]
+    for same in ("z" * 20000, "xy" * 10000, "qwe" * 200):  # cheap however long, and not slow
+        assert secrets.guess_cost(same) < 8 and guessed("auth: " + same) == []
