@@ -30,10 +30,11 @@ MIN_LENGTH = 8
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A word for a credential, some joining words or signs, and a value of printable ASCII.
+#: A word for a credential (after a sign, an underscore or a camel-case edge), some joining words or
+#: signs, and a value of any characters but spaces.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret)\b"""
-    r"""["']?\s{0,3}(?:(?:is|was)\s{1,3}|[:=]{1,2}>?\s{0,3}(?:bearer\s{1,3})?)["'`]?([!-~]{8,})""",
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret)\b"""
+    r"""["']?\s{0,3}(?:(?:is|was)\s{1,3}|[:=]{1,2}>?\s{0,3}(?:bearer\s{1,3})?)["'`]?((?u:\S){8,})""",
     re.I | re.A,
 )
 _HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.I | re.A)
@@ -158,7 +159,7 @@ def guessed_spans(text: str, taken: list[tuple[int, int, int]], least: float = M
         if len(value) < MIN_LENGTH or any(x < b and a < y for x, _, y in taken):
             continue
         # plain words are prose that follows the context word, not a value
-        if value.isalpha() and (value.islower() or value.istitle()):
+        if value.isalpha() and (value == value.lower() or value.istitle()):
             continue
         if guess_cost(value, least) >= least:
             out.append((a, 3, b))

@@ -84,3 +84,12 @@ def test_values_are_taken_and_priced_whole():
     assert guessed(f"auth: {late} end") == [late]
     for same in ("z" * 20000, "xy" * 10000, "qwe" * 200):  # cheap however long, and not slow
         assert secrets.guess_cost(same) < 8 and guessed("auth: " + same) == []
+
+
+def test_credential_names_are_parts_of_names():
+    for text, value in (
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG+bPxRfiCY", "wJalrXUtnFEMI/K7MDENG+bPxRfiCY"), ("DB_PASSWORD='x#9$Qz!27&k'", "x#9$Qz!27&k"), ("db-pwd: zK8Qp2Lm9RtY", "zK8Qp2Lm9RtY"),
+        ("dbPwd: zK8Qp2Lm9RtY", "zK8Qp2Lm9RtY"), ("auth: zK8éQp2Lm9RtYxx", "zK8éQp2Lm9RtYxx"),
+    ):
+        assert guessed(text) == [value]
+    assert guessed("compwd: zK8Qp2Lm9RtY") == []
