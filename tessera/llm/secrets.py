@@ -3,7 +3,7 @@
 The guess cost of a value is the least, over its segmentations, of the product of each span's guesses:
 a common word (with capitals and look-alike digits), a date, a repeat, a keyboard or alphabet walk, or
 brute force. It is found by shortest paths over the value's end places. Values behind a word for
-a credential that the patterns do not take, and that cost at least ``MIN_LOG10`` to guess, are added.
+a credential that no pattern takes whole, and that cost at least ``MIN_LOG10`` to guess, are added.
 
 Spans are (kind, start, end) in code points, end exclusive. ``assign`` spans cover the whole match.
 Nulls and edges: a null or empty text has no spans. Repeated rows are scanned each on its own. Whole
@@ -151,12 +151,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, taken: list[tuple[int, int, int]], least: float = MIN_LOG10) -> list[tuple[int, int, int]]:
-    """Values in credential contexts, outside the spans taken, that are costly to guess."""
+    """Values in credential contexts, not within one of the spans taken, that are costly to guess."""
     out = []
     for m in CONTEXT.finditer(text):
         value = m.group(1).rstrip(_TRIM)
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) < MIN_LENGTH or any(x < b and a < y for x, _, y in taken):
+        if len(value) < MIN_LENGTH or any(x <= a and b <= y for x, _, y in taken):
             continue
         # plain words are prose that follows the context word, not a value
         if value.isalpha() and (value == value.lower() or value.istitle()):

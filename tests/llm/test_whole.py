@@ -93,3 +93,11 @@ def test_credential_names_are_parts_of_names():
     ):
         assert guessed(text) == [value]
     assert guessed("compwd: zK8Qp2Lm9RtY") == []
+
+
+def test_values_that_a_pattern_cuts_are_masked_whole():
+    for text, masked in (
+        ("password=Summer2024!x#9Qz end", "[assign] end"), ("api_key: abcdef!9$kQz7 end", "[assign] end"), ("pwd=zzQ!" + "0af" * 9 + "!zQ9 end", "pwd=[guess] end"),
+    ):
+        assert secrets.mask(text, secrets.find(text)[1]) == masked
+    assert guessed("password=abcdefQ9x7Zk4") == []  # the pattern has all of it
