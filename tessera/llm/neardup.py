@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textbytes
 from tessera.llm.graph import components
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, releasing
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -360,10 +360,10 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float) -> Dat
     got = table.toArrow()  # at most 2^17 rows
     words = np.zeros(1 << (FILTER_BITS - 5), np.int64)
     words[got["w"].to_numpy()] = got["bits"].to_numpy()
-    sets = texts.mapInArrow(_sets(words), "digest binary, shingles binary").dropDuplicates(["digest"])
+    sets = texts.mapInArrow(releasing(_sets(words)), "digest binary, shingles binary").dropDuplicates(["digest"])
     left = pairs.join(sets.withColumnsRenamed({"digest": "a", "shingles": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"digest": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_verify(similarity), "a binary, b binary")
+    return both.mapInArrow(releasing(_verify(similarity)), "a binary, b binary")
 
 
 def _unsettled(sketches: DataFrame, pairs: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
@@ -388,19 +388,19 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _named(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
     """A row a distinct text: digest, its least doc_id, n (rows) and root, which names its class."""
     texts = rows.select("digest", "text")
-    sketched = texts.mapInArrow(_sketch, "digest binary, s0 long, s1 long")
+    sketched = texts.mapInArrow(releasing(_sketch), "digest binary, s0 long, s1 long")
     sketches = cut(sketched.groupBy("digest").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")))
     depth, tries = forest_shape(sketches.count(), similarity, recall)
     prefix = depth - 4
-    planted = sketches.mapInArrow(_plant(tries, prefix), "node long, key long, digest binary, s0 long, s1 long")
-    near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(_climb(prefix, depth), "a binary, b binary, sure boolean")
+    planted = sketches.mapInArrow(releasing(_plant(tries, prefix)), "node long, key long, digest binary, s0 long, s1 long")
+    near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(releasing(_climb(prefix, depth)), "a binary, b binary, sure boolean")
     pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct())
     links = cut(verified_pairs(texts, pairs.where(F.col("a") != F.col("b")).select("a", "b"), similarity))
     of = components(links).select(F.col("node").alias("digest"), "root")
     again = cut(_unsettled(sketches, pairs, links, of))
     if again.limit(1).count():
-        planted = again.mapInArrow(_plant(tries, prefix), "node long, key long, digest binary, s0 long, s1 long, label binary")
-        near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(_across(prefix, depth), "a binary, b binary")
+        planted = again.mapInArrow(releasing(_plant(tries, prefix)), "node long, key long, digest binary, s0 long, s1 long, label binary")
+        near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(releasing(_across(prefix, depth)), "a binary, b binary")
         more = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         links = links.unionByName(verified_pairs(texts, more, similarity))
         of = components(links).select(F.col("node").alias("digest"), "root")

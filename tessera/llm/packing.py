@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
-from tessera.llm.tokens import tokenizer
+from tessera.llm.shared import cut, releasing
+from tessera.llm.tokens import forgetting, tokenizer
 
 CAPACITY = 1024
 SHARD_ITEMS = 1 << 16
@@ -131,15 +131,15 @@ def pack(docs: DataFrame, path: str, lead: bool = True, end: int = 2, capacity:
     # null ids travel as a flag: pandas would turn a column of longs with nulls into doubles
     chosen = docs.select(F.coalesce(ident, F.lit(0)).alias("doc_id"), F.col(text).alias("text"), ident.isNull().alias("absent"))
     shards = max(1, -(-chosen.count() // shard_items))
-    pieces = chosen.mapInArrow(_encode(path, lead, end, capacity), PIECES)
+    pieces = chosen.mapInArrow(releasing(_encode(path, lead, end, capacity), forgetting(path, lead)), PIECES)
     salt = F.xxhash64("doc_id", "ids_crc32", F.spark_partition_id())
-    packed = cut(pieces.repartition(shards, salt).mapInPandas(_pack_shard(capacity), PACKED))
+    packed = cut(pieces.repartition(shards, salt).mapInPandas(releasing(_pack_shard(capacity)), PACKED))
     known = F.when(~F.col("absent"), F.col("doc_id")).alias("doc_id")
     columns = [known, "piece", "start", "length", "ids_crc32"]
     if shards == 1:
         return packed.select(*columns, "sequence_id", "offset")
     open_bins = packed.where(F.col("fill") < capacity).groupBy("sequence_id").agg(F.first("fill").alias("fill"))
     again = max(1, -(-open_bins.count() // shard_items))
-    moved = open_bins.repartition(again, "sequence_id").mapInPandas(_pack_open(capacity), "old_id long, new_id long, base long")
+    moved = open_bins.repartition(again, "sequence_id").mapInPandas(releasing(_pack_open(capacity)), "old_id long, new_id long, base long")
     done = packed.join(moved, packed["sequence_id"] == moved["old_id"], "left")
     return done.select(*columns, F.coalesce("new_id", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).cast("long").alias("offset"))

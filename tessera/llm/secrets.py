@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import releasing
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 8.0
 MIN_LENGTH = 8
@@ -197,7 +199,7 @@ def _scan(least: float):
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_LOG10) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans; a row a document."""
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(_scan(least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return chosen.mapInArrow(releasing(_scan(least), guess_cost.cache_clear), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -224,4 +226,4 @@ def redact(docs: DataFrame, text: str = "text", least: float = MIN_LOG10) -> Dat
                 batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run, guess_cost.cache_clear), docs.schema)

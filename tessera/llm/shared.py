@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What separates words throughout: space and the ASCII controls from tab to carriage return.
@@ -19,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_uri(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
+    """The cluster's shared folder; one of our own only in local mode where the session names none (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
     if not named:
         named = getattr(sc, "_tessera_shared", None)
         if not named:
@@ -50,3 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     shared_uri(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release() -> None:
+    """Hands what this worker has freed back to the system. Workers are used again by other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run: Callable[[Iterator], Iterator], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
+    """``run``, a task's function over batches, that leaves no tables behind in its worker."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            release()
+
+    return whole

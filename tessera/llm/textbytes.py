@@ -21,14 +21,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(256, n), _P & MASK, np.uint64))])
-    return _POWERS
+#: Longest word that is hashed in one go, and bytes of words that are.
+_PART, _STEP = 1 << 14, 1 << 20
+_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_PART - 1, _P & MASK, np.uint64))])
 
 
 def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,19 +44,32 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def _polynomial(part: np.ndarray) -> int:
+    return int(((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)]).sum())
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes; memory is bounded whatever the words' lengths."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 17
-    for lo in range(0, len(starts), step):
-        s, e = starts[lo : lo + step], ends[lo : lo + step]
-        size = e - s
+    sizes = ends - starts
+    for i in np.flatnonzero(sizes > _PART):
+        total, power = 0, 1
+        for lo in range(int(starts[i]), int(ends[i]), _PART):
+            total += power * _polynomial(data[lo : min(lo + _PART, int(ends[i]))])
+            power = power * pow(_P & MASK, _PART, 1 << 64) & MASK
+        out[i] = np.uint64((total + int(sizes[i])) & MASK)
+    few = np.flatnonzero(sizes <= _PART)
+    bytes_before = np.cumsum(sizes[few])
+    edges = np.unique(np.concatenate([[0], np.searchsorted(bytes_before, np.arange(_STEP, int(bytes_before[-1]) if len(few) else 0, _STEP)), [len(few)]]))
+    for a, b in zip(edges, edges[1:]):
+        rows = few[a:b]
+        s, size = starts[rows], sizes[rows]
         first = np.cumsum(size) - size
         inside = np.arange(int(size.sum())) - np.repeat(first, size)
-        value = (data[np.repeat(s, size) + inside].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[inside]
-        out[lo : lo + step] = np.add.reduceat(value, first) + size.astype(np.uint64)
+        value = (data[np.repeat(s, size) + inside].astype(np.uint64) + np.uint64(1)) * _POWERS[inside]
+        out[rows] = np.add.reduceat(value, first) + size.astype(np.uint64)
     return mix(out)
 
 

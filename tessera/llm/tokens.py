@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -48,16 +49,20 @@ class ChunkTokenizer:
 
         self.tokenizer, self.lead = Tokenizer.from_file(path), " " if lead else ""
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young = _Young(self)
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.forget()
         self.model, self.find = self.tokenizer.model, _PIECES[lead].findall
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
 
+    def forget(self) -> None:
+        """Empties the memory of chunks."""
+        self.young = _Young(self)
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [array(self.width.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -114,5 +119,10 @@ class ChunkTokenizer:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str, lead: bool) -> ChunkTokenizer:
-    """One a Python worker."""
+    """One a Python worker; tasks end with ``forget``, which costs the next one little."""
     return ChunkTokenizer(path, lead)
+
+
+def forgetting(path: str, lead: bool) -> Callable[[], None]:
+    """What ends a task that used the tokenizer."""
+    return lambda: tokenizer(path, lead).forget()

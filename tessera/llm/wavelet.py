@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, shared_path
-from tessera.llm.tokens import tokenizer
+from tessera.llm.shared import cut, releasing, shared_path
+from tessera.llm.tokens import forgetting, tokenizer
 
 MAGIC = b"TESSWM01"
 BLOCK = 512
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, lead: bool = False, end: int = 1, key: st
     sized = chosen.select(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(sized) // shard_bytes))
     ranged = chosen.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = cut(ranged.mapInArrow(_write_shards(folder, path, lead, end, shard_bytes), "name string, part int, nth int, tokens long"))
+    made = cut(ranged.mapInArrow(releasing(_write_shards(folder, path, lead, end, shard_bytes), forgetting(path, lead)), "name string, part int, nth int, tokens long"))
     order = W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)  # a row a shard
     return folder, made.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
 
@@ -243,4 +243,4 @@ def read(folder: str, shards: DataFrame) -> DataFrame:
     """A row a document, from the files: doc_id, start, n_tokens, ids_crc32."""
     n = max(1, shards.count())
     listed = shards.select("name", "before").repartition(n, "name")
-    return listed.mapInArrow(_read_shards(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(releasing(_read_shards(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
