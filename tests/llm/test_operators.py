@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neardup, neighbours, ngram, packing, passages, quality, secrets, toxicity, wavelet
+from tessera.llm import mixing, neardup, ngram, packing, passages, quality, secrets, toxicity, wavelet
 from tessera.llm.eliasfano import EliasFano
 from tessera.llm.graph import components
 from tessera.llm.tokens import ChunkTokenizer
@@ -61,30 +61,6 @@ def test_quality_policies(docs, clashing):
         assert table[rule.name]["n_kept_without"] == sum(b & ~bit == 0 for b in bits) <= n
 
 
-# -- 2 ---------------------------------------------------------------------------
-def test_neighbours(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(900, 16)).astype(np.float32) * rng.uniform(0.5, 2, (900, 1)).astype(np.float32)
-    x[7] = x[8]
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    odd = [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (None, rows[0][1], 0), (1004, [1.0], 0), rows[5]]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, h int")
-    got = defaultdict(list)
-    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    s = x.astype(float) @ x.astype(float).T
-    hits = 0
-    for q in range(0, 900, 20):
-        order = sorted((i for i in range(900) if i != q), key=lambda i: (-s[q, i], i))[:5]
-        hits += len({i for i, _ in got[q]} & set(order))
-        assert len(got[q]) == 5 and all(abs(v - s[q, i]) < 1e-9 for i, v in got[q])
-        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
-    assert hits >= 0.9 * 45 * 5  # the recall asked for
-    few = neighbours.search(df.where("vec_id < 4"), F.col("vec_id") == 0, k=20).collect()
-    assert len(few) == 3
-    assert neighbours.search(df.where("false"), F.col("vec_id") == 0).count() == 0
-
-
 # -- 3, 8 ------------------------------------------------------------------------
 @pytest.mark.parametrize("name, lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_encode_like_whole_texts(texts, name, lead):
