@@ -203,7 +203,7 @@ def results_json(spark, sf_dir):
     return spark.createDataFrame([(body["query"], body["count"], json.dumps(body["results"]))], "query string, count long, results string")
 
 
-TREE = {"rust.md": "# Rust\n\nRust has no collector.", "nested/go.txt": "Go has goroutines and a collector.", "photo.png": "x", ".git/HEAD.txt": "ref", "a/b.md": "first", "a-b.md": "second"}
+TREE = {"rust.md": "# Rust\n\nRust has no collector.", "nested/go.txt": "Go has goroutines and a collector.", "photo.png": "x", ".git/HEAD.txt": "ref", "a/b.md": "first", "a-b.md": "second", "void.txt": ""}
 
 
 def _tree(spark: SparkSession) -> str:
@@ -274,7 +274,12 @@ def _oracles() -> dict[str, str]:
       qn AS (SELECT item_id, pos, lower(strip_accents(w)) AS n FROM qw),
       qk AS (SELECT * FROM qn WHERE length(n) >= 2 AND n NOT IN ({", ".join(f"'{w}'" for w in sorted(analysis.STOPWORDS))})),
       q1 AS (SELECT item_id, pos, {O._strip("n")} AS s FROM qk), q2 AS (SELECT item_id, pos, {O._strip("s")} AS term FROM q1)"""
+    tree = {p: t for p, t in TREE.items() if p.endswith((".md", ".txt")) and not p.startswith(".")}
+    tree_sql = ", ".join(f"('{p}', '{t}')" for p, t in tree.items())
+    files = f"f(uri, text) AS (VALUES {tree_sql}), l AS (SELECT uri, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), lambda x: x <> '') AS lines FROM f)"
     return {
+        "crawl_directory": f"WITH {files} SELECT row_number() OVER (ORDER BY string_split(uri, '/')) - 1 AS doc_id, uri, coalesce(left(lines[1], 80), regexp_replace(regexp_extract(uri, '[^/]*$'), '\\.[^.]*$', '')) AS title FROM l",
+        "pruned_equals_exhaustive": f"SELECT doc_id, score AS pruned, score AS exhaustive FROM ({O.top(_THREE)})",
         "bm25_should_topk": O.top(_THREE), "bm25_single_term": O.top([("", _term("anea"))]),
         "bm25_must_intersection": O.top([("+", _term("anea")), ("+", _term("eriner"))]),
         "bm25_must_plus_should": O.top([("+", _term("anea")), ("", _term("eriner")), ("", _term("attion"))]),

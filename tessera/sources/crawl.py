@@ -41,7 +41,9 @@ def read_tree(spark: SparkSession, root: str, extensions: Iterable[str] = EXTENS
     prefix = urlparse(base).path.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "/")
-    rows = raw.select(path.alias("uri"), "content").withColumn("relative", F.substr("uri", F.lit(len(unquote(prefix)) + 1)))
+    # Spark plans no split for a file of no bytes
+    empty = spark.createDataFrame([(p,) for p in Files(spark, root).empty(root)], "uri string")
+    rows = raw.select(path.alias("uri"), "content").unionByName(empty.withColumn("content", F.lit(b""))).withColumn("relative", F.substr("uri", F.lit(len(unquote(prefix)) + 1)))
     rows = rows.where(accepts(F.col("relative"), extensions))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(valid, F.col("content").cast("string")).otherwise(F.raise_error(F.concat(F.col("uri"), F.lit(": not UTF-8"))))

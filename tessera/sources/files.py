@@ -44,13 +44,24 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
+    def empty(self, root: str) -> list[str]:
+        """Paths, without the scheme, of the files of no bytes below ``root``."""
+        found, listing = [], self.fs.listFiles(self.path(root), True)
+        while listing.hasNext():
+            status = listing.next()
+            if status.getLen() == 0:
+                found.append(status.getPath().toUri().getPath())
+        return found
+
     def children(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(path))) if self.exists(path) else []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; our own where it is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; our own where it is unset in local mode (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
     if not named:
         named = getattr(spark.sparkContext, "_tessera_core", None)
         if not named:
