@@ -7,7 +7,7 @@ import numpy as np
 _ONE = np.uint64(1)
 
 
-def _select(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
+def select_in_word(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
     """Place of the nth (from 0) one in each 64-bit word."""
     at, word, nth = np.zeros(len(word), np.int64), word.copy(), nth.copy()
     for width in (32, 16, 8, 4, 2, 1):
@@ -65,7 +65,7 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
-        at = word * 64 + _select(self.high[word], i - self.ones[word].astype(np.int64))
+        at = word * 64 + select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
         return ((at - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
     def _before(self, h: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ class EliasFano:
         zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
         k = np.maximum(h - 1, 0)
         word = np.minimum(np.searchsorted(zeros, k, "right") - 1, len(self.high) - 1)
-        at = word * 64 + _select(~self.high[word], k - zeros[word])
+        at = word * 64 + select_in_word(~self.high[word], k - zeros[word])
         return np.where(h > 0, np.minimum(at - k, self.n), 0)
 
     def find(self, x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import neardup, secrets
+from tessera.llm import neardup, secrets, wavelet
 
 
 def shingled(text):
@@ -71,6 +71,24 @@ def test_deduplicate_keeps_a_row_of_each_class(spark):
     assert sorted(map(repr, (tuple(r) for r in out))) == sorted(map(repr, want))
 
 
+# -- 8 ---------------------------------------------------------------------------
+def test_token_files_take_the_entropy_and_answer_from_the_file(tmp_path):
+    """Of ids as skewed as words: smaller than their entropy in 16-bit ids, and than those; counts by rank are those of the ids."""
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 40_000).astype(np.uint16)
+    path = str(tmp_path / "x")
+    wavelet.write(path, ids, np.array([1, 2]), np.array([True, True]), np.array([0, 150_000, 200_000]))
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    entropy = -(share * np.log2(share)).sum() / 8 * len(ids)
+    size = (tmp_path / "x").stat().st_size
+    assert size < 1.12 * entropy + 9 * len(share) + 4096 and size < 0.8 * 2 * len(ids)
+    m = wavelet.WaveletMatrix(path)
+    for token in [*np.unique(ids)[:30].tolist(), int(ids.max())]:
+        assert m.count(token, 1000, 150_000) == (ids[1000:150_000] == token).sum()
+        assert (m.locate(token) == np.flatnonzero(ids == token)).all()
+    assert (m.access(np.arange(0, 200_000, 37)) == ids[::37]).all() and (m.decode() == ids).all()
+
+
 # -- 10 --------------------------------------------------------------------------
 def guessed(text):
     return [text[a:b] for a, k, b in secrets.find(text)[1] if k == 3]
