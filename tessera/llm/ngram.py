@@ -1,15 +1,20 @@
-"""A bigram language model in a memory-mapped Elias-Fano trie, and the scores of texts under it.
+"""A trigram language model in a memory-mapped Elias-Fano trie, and the scores of texts under it.
 
-Words are counted over all training texts, then pairs of words, both in the shared folder's shards. The
-first level is the vocabulary in the order of 64-bit word hashes, with running counts; a word's id is
-its rank. The second holds each word's successors: pointers are an Elias-Fano sequence, and so are the
-successors' ids, each context's made to go on from the last of the context before it. A pair is found by
-its context's pointers and a successor search relative to the context's base. Probabilities are smoothed
-(a Dirichlet prior of ``MU`` words on the unigram model) and quantised to 256 levels a shard.
+Words are counted over all training texts, then pairs of words, then words after pairs, all in the shared
+folder's shards. The first level is the vocabulary: 64-bit word hashes in order and running counts, each
+an Elias-Fano sequence; a word's id is its rank. The second holds each word's successors, the third each
+pair's: pointers are an Elias-Fano sequence, and so are the successors' ids, each context's made to go on
+from the last of the context before it. An n-gram is found by its context's pointers and a successor search
+relative to the context's base; a pair's place in its shard is its id as a context of the third level.
 
-A text is its lower-cased (A-Z) words and an end, which also stands before the first word. The unigram
-model discounts every count by ``d``; what that frees is the probability of unknown words as one class.
-Shards of pairs are cut by probability mass, so a frequent context is spread over several.
+Probabilities are smoothed (Dirichlet priors: ``MU`` words on the unigram model, ``NU`` on the bigram
+model) and quantised to 256 levels a shard: of a pair its probability and the weight of the bigram model
+after it, of a triple its share of what follows its pair. Scores add the two up.
+
+A text is its lower-cased (A-Z) words and an end, which also stands before the first word; the first word
+has no more context than that. The unigram model discounts every count by ``d``; what that frees is the
+probability of unknown words as one class. Shards of pairs are cut by probability mass, so a frequent
+context is spread over several; triples lie in the shard of their context.
 
 Nulls and edges: a null or empty text is its end alone. Repeated rows count, and are scored, each on its
 own. A null id is scored with its text. Without training texts every token is unknown, with probability
@@ -32,9 +37,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textbytes
 from tessera.llm.eliasfano import EliasFano
-from tessera.llm.shared import cut, shared_path
+from tessera.llm.shared import cut, releasing, shared_path
 
-MU = 40.0
+#: Chosen on a tenth of the training rows of sf0.1, left out of training for that.
+MU = 1000.0
+NU = 10.0
 #: Pairs and words held before they are handed on.
 HELD = 4_000_000
 SHARD = 3_000_000
@@ -64,12 +71,21 @@ def _slices(batches, column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarr
             yield part, *token_hashes(part.column(column))
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _merge(keys: list[np.ndarray], counts: list[np.ndarray], shards: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Keys in order and their counts; with shards, by shard and key, and the shards."""
     k, c = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(counts or [np.zeros(0, np.int64)])
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    first = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0] if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+    s = np.concatenate(shards or [np.zeros(0, np.int64)]) if shards is not None else np.zeros(len(k), np.int64)
+    order = np.argsort(k) if shards is None else _by_shard(s, k)
+    k, c, s = k[order], c[order], s[order]
+    first = np.nonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))[0] if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c, s[first]
+
+
+def _by_shard(shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+    width = max(1, int(key.max()).bit_length()) if len(key) else 1
+    if not len(key) or width + int(shard.max()).bit_length() > 64:
+        return np.lexsort((key, shard))
+    return np.argsort(shard.astype(np.uint64) << np.uint64(width) | key if width < 64 else key)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -93,26 +109,41 @@ def _parcels(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in spans], pa.int32()), pa.array([pack(keys[a:b], counts[a:b]) for a, b in spans], pa.binary())], ["shard", "parcel"])
 
 
-def _counted(batches, pairs, shard_of):
-    """Parcels of the keys that ``pairs`` makes of each slice."""
-    keys, counts, held = [], [], 0
+def _counted(batches, keys_of, shard_of=None):
+    """Parcels of the keys that ``keys_of`` makes of each slice; it names their shards where ``shard_of``, a
+    function of the key that never falls, doesn't."""
+    keys, counts, shards, held = [], [], [], 0
+
+    def parcels():
+        k, c, s = _merge(keys, counts, None if shard_of else shards)
+        return _parcels(k, c, shard_of(k) if shard_of else s)
+
     for _, h, begin in _slices(batches):
-        k, c = np.unique(pairs(h, begin), return_counts=True)
+        if shard_of:
+            k, c = np.unique(keys_of(h, begin), return_counts=True)
+        else:
+            k, s = keys_of(h, begin)
+            k, c, s = _merge([k], [np.ones(len(k), np.int64)], [s])
+            shards.append(s)
         keys.append(k)
         counts.append(c)
         held += len(k)
         if held >= HELD:
-            k, c = _merge(keys, counts)
-            yield _parcels(k, c, shard_of(k))
-            keys, counts, held = [], [], 0
+            yield parcels()
+            keys, counts, shards, held = [], [], [], 0
     if keys:
-        k, c = _merge(keys, counts)
-        yield _parcels(k, c, shard_of(k))
+        yield parcels()
 
 
-def _gather(parcels: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    got = [unpack(x) for x in parcels["parcel"].to_pylist()]
-    return _merge([k for k, _ in got], [c for _, c in got])
+def _gathered(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shard, keys and counts of a partition's parcels."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for shard, parcel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(shard, []).append(parcel)
+    for shard in sorted(held):
+        got = [unpack(x) for x in held.pop(shard)]
+        yield shard, *_merge([k for k, _ in got], [c for _, c in got])[:2]
 
 
 def _save(path: str, *arrays: np.ndarray) -> None:
@@ -141,41 +172,60 @@ def _load(path: str) -> list[np.ndarray]:
 
 
 class Vocabulary:
-    """The first level. ``bits``: a shard is the upper bits of the hash."""
+    """The first level. ``bits``: a shard is the upper bits of the hash; ``width``: bits of an id."""
 
     def __init__(self, folder: str, bits: int, sizes: np.ndarray, masses: np.ndarray, shards: int, discount: float):
         self.folder, self.bits, self.shards = folder, bits, shards
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.mass = np.concatenate([[0], np.cumsum(masses)]).astype(np.int64)
         self.v, self.n, self.discount = int(self.first[-1]), int(self.mass[-1]), discount
+        self.width = max(1, self.v.bit_length())
+
+    @staticmethod
+    def arrays(words: np.ndarray, counts: np.ndarray, base: int) -> list[np.ndarray]:
+        w, run = EliasFano.of(words - np.uint64(base)), EliasFano.of(np.concatenate([[0], np.cumsum(counts)]))
+        return [np.array([w.n, w.bits, run.n, run.bits], np.int64), *w.arrays(), *run.arrays()]
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def shard(self, i: int) -> list[np.ndarray]:
-        path = os.path.join(self.folder, f"words-{i:05d}")
-        return _load(path) if os.path.exists(path) else [np.zeros(0, np.uint64), np.zeros(1, np.int64)]
+    def shard(self, i: int) -> tuple[EliasFano, EliasFano] | None:
+        """Hashes, less the shard's first, and running counts."""
+        path = os.path.join(self.folder, f"words-{i:08d}")
+        if not os.path.exists(path):
+            return None
+        head, *rest = _load(path)
+        n, bits, run_n, run_bits = (int(x) for x in head)
+        return EliasFano(n, bits, *rest[:3]), EliasFano(run_n, run_bits, *rest[3:])
+
+    def base(self, i: int) -> int:
+        return i << (64 - self.bits) if self.bits else 0
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of sorted hashes: id (or -1), count and the counts of all words before."""
         ids, count, before = np.full(len(h), -1), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        edge = np.searchsorted((h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64), np.arange((1 << self.bits) + 1))
-        for i, (a, b) in enumerate(zip(edge, edge[1:])):
-            words, run = self.shard(i) if a < b else (None, None)
-            if a < b and len(words):
-                at = np.minimum(np.searchsorted(words, h[a:b]), len(words) - 1)
-                there = words[at] == h[a:b]
-                ids[a:b] = np.where(there, self.first[i] + at, -1)
-                count[a:b] = np.where(there, run[at + 1] - run[at], 0)
-                before[a:b] = np.where(there, self.mass[i] + run[at], 0)
+        shard = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        for a, b in _spans(shard):
+            i = int(shard[a])
+            if (got := self.shard(i)) is None:
+                continue
+            words, run = got
+            x = h[a:b] - np.uint64(self.base(i))
+            at = words.find(x)
+            there = np.flatnonzero(at < words.n)
+            there = there[words.access(at[there]) == x[there]]
+            at, to = at[there], a + there
+            low, high = run.access(at).astype(np.int64), run.access(at + 1).astype(np.int64)
+            ids[to], count[to], before[to] = self.first[i] + at, high - low, self.mass[i] + low
         return ids, count, before
 
     def of_ids(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts of all words before, count) of sorted ids."""
         before, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        edge = np.searchsorted(ids, self.first)
-        for i, (a, b) in enumerate(zip(edge, edge[1:])):
-            if a < b:
-                run, at = self.shard(i)[1], ids[a:b] - self.first[i]
-                before[a:b], count[a:b] = self.mass[i] + run[at], run[at + 1] - run[at]
+        shard = np.searchsorted(self.first, ids, "right") - 1
+        for a, b in _spans(shard):
+            i = int(shard[a])
+            run, at = self.shard(i)[1], ids[a:b] - self.first[i]
+            low = run.access(at).astype(np.int64)
+            before[a:b], count[a:b] = self.mass[i] + low, run.access(at + 1).astype(np.int64) - low
         return before, count
 
     def place(self, before: np.ndarray, count: np.ndarray, follower: np.ndarray) -> np.ndarray:
@@ -189,6 +239,12 @@ class Vocabulary:
         return np.log10(np.where(count > 0, (count - self.discount) / max(self.n, 1), max(unknown, 1e-12)))
 
 
+def _spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Where each value stands."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.zeros(1, int)
+    return [(int(a), int(b)) for a, b in zip(edge, edge[1:])]
+
+
 def _tokens(vocabulary: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unique, back = np.unique(h, return_inverse=True)
     return tuple(x[back] for x in vocabulary.look(unique))
@@ -215,46 +271,53 @@ def _pair_keys(vocabulary: Vocabulary):
     return run, shard
 
 
-def _write_words(folder: str):
-    def run(parcels: pa.Table) -> pa.Table:
-        shard = parcels["shard"][0].as_py()
-        words, counts = _gather(parcels)
-        _save(os.path.join(folder, f"words-{shard:05d}"), words, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
-        sums = [shard, len(words), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum())]
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(("shard", "size", "mass", "ones", "twos"), sums)})
+def _write_words(folder: str, bits: int):
+    def run(batches):
+        for shard, words, counts in _gathered(batches):
+            _save(os.path.join(folder, f"words-{shard:08d}"), *Vocabulary.arrays(words, counts, shard << (64 - bits) if bits else 0))
+            sums = [shard, len(words), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in sums], ["shard", "size", "mass", "ones", "twos"])
 
     return run
 
 
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of 256 even steps, and the mean of the values at each."""
+    low, wide = float(x.min()), max(float(np.ptp(x)), 1e-9)
+    code = np.minimum((x - low) * (256 / wide), 255).astype(np.int64)
+    book = np.bincount(code, x, 256) / np.maximum(np.bincount(code, minlength=256), 1)
+    return code.astype(np.uint8), book.astype(np.float32)
+
+
 class Successors:
-    """A shard of the second level."""
+    """A shard of the second or third level; ``values``: the quantised logs of each n-gram."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        head, *rest, self.codes, self.book = arrays
+        head, *rest = arrays
         self.first, ptr_n, ptr_bits, succ_n, succ_bits = (int(x) for x in head)
         self.pointers = EliasFano(ptr_n, ptr_bits, *rest[:3])
         self.ids = EliasFano(succ_n, succ_bits, *rest[3:6])
+        self.values = list(zip(rest[6::2], rest[7::2]))
 
     @staticmethod
-    def arrays(keys: np.ndarray, logs: np.ndarray) -> list[np.ndarray]:
-        """Of sorted pair keys and their log10 probabilities."""
-        heads, tails = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    def arrays(heads: np.ndarray, tails: np.ndarray, *logs: np.ndarray) -> list[np.ndarray]:
+        """Of n-grams sorted by context and successor."""
         first = int(heads[0])
         pointer = np.searchsorted(heads, np.arange(first, int(heads[-1]) + 2))
         last = pointer[1:][np.diff(pointer) > 0] - 1
-        step = np.zeros(len(keys), np.int64)
+        step = np.zeros(len(heads), np.int64)
         step[last[:-1] + 1] = tails[last[:-1]] + 1  # each context goes on from the last of the one before
         ids = np.cumsum(step) + tails
-        # 256 even steps, each standing for the mean of its values
-        low, wide = float(logs.min()), max(float(np.ptp(logs)), 1e-9)
-        code = np.minimum((logs - low) * (256 / wide), 255).astype(np.int64)
-        book = np.bincount(code, logs, 256) / np.maximum(np.bincount(code, minlength=256), 1)
         p, s = EliasFano.of(pointer), EliasFano.of(ids)
-        return [np.array([first, p.n, p.bits, s.n, s.bits], np.int64), *p.arrays(), *s.arrays(), code.astype(np.uint8), book.astype(np.float32)]
+        return [np.array([first, p.n, p.bits, s.n, s.bits], np.int64), *p.arrays(), *s.arrays(), *[x for log in logs for x in quantised(log)]]
+
+    def value(self, k: int, at: np.ndarray) -> np.ndarray:
+        codes, book = self.values[k]
+        return book[codes[at]]
 
     def look(self, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        """log10 probabilities of sorted pairs; NaN where a pair was not seen."""
-        out = np.full(len(heads), np.nan)
+        """Places of sorted (context, successor) pairs; -1 where one was not seen."""
+        out = np.full(len(heads), -1)
         unique, back = np.unique(heads - self.first, return_inverse=True)
         inside = (unique >= 0) & (unique < self.pointers.n - 1)
         c = np.where(inside, unique, 0)
@@ -268,22 +331,34 @@ class Successors:
         valid = (at >= lo[some]) & (at < hi[some])
         at = np.where(valid, at, 0)
         valid &= self.ids.access(at).astype(np.int64) == target
-        out[some] = np.where(valid, self.book[self.codes[at]], np.nan)
+        out[some] = np.where(valid, at, -1)
         return out
 
 
-def _write_pairs(vocabulary: Vocabulary, folder: str, mu: float):
-    def run(parcels: pa.Table) -> pa.Table:
-        shard = parcels["shard"][0].as_py()
-        keys, counts = _gather(parcels)
-        heads, tails = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        unique, back = np.unique(heads, return_inverse=True)
-        context = vocabulary.of_ids(unique)[1][back]
-        other, there = np.unique(tails, return_inverse=True)
-        alone = 10 ** vocabulary.unigram(vocabulary.of_ids(other)[1])[there]
-        logs = np.log10((counts + mu * alone) / (context + mu))
-        _save(os.path.join(folder, f"pairs-{shard:05d}"), *Successors.arrays(keys, logs))
-        return pa.table({"shard": pa.array([shard], pa.int64()), "size": pa.array([len(keys)], pa.int64())})
+def _write_pairs(vocabulary: Vocabulary, folder: str, mu: float, nu: float):
+    def run(batches):
+        for shard, keys, counts in _gathered(batches):
+            heads, tails = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            unique, back = np.unique(heads, return_inverse=True)
+            context = vocabulary.of_ids(unique)[1][back]
+            other, there = np.unique(tails, return_inverse=True)
+            alone = 10 ** vocabulary.unigram(vocabulary.of_ids(other)[1])[there]
+            logs = np.log10((counts + mu * alone) / (context + mu))
+            _save(os.path.join(folder, f"pairs-{shard:08d}"), *Successors.arrays(heads, tails, logs, np.log10(nu / (counts + nu))))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(keys)], pa.int64())], ["shard", "size"])
+
+    return run
+
+
+def _write_triples(vocabulary: Vocabulary, folder: str, nu: float):
+    def run(batches):
+        for shard, keys, counts in _gathered(batches):
+            heads = (keys >> np.uint64(vocabulary.width)).astype(np.int64)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(heads)) + 1])
+            context = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(heads))))
+            tails = (keys & np.uint64((1 << vocabulary.width) - 1)).astype(np.int64)
+            _save(os.path.join(folder, f"triples-{shard:08d}"), *Successors.arrays(heads, tails, np.log10(counts / (context + nu))))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(keys)], pa.int64())], ["shard", "size"])
 
     return run
 
@@ -293,10 +368,30 @@ class Model:
         self.vocabulary, self.folder, self.mu = vocabulary, folder, mu
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def successors(self, shard: int) -> Successors | None:
-        path = os.path.join(self.folder, f"pairs-{shard:05d}")
+    def level(self, name: str, shard: int) -> Successors | None:
+        path = os.path.join(self.folder, f"{name}-{shard:08d}")
         return Successors(_load(path)) if os.path.exists(path) else None
 
+    def pairs(self, ids: np.ndarray, count: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each token after its predecessor: shard, place there (-1: not seen), log10 of its probability and of
+        the bigram model's weight after the pair."""
+        head, context, mass = (_previous(x, begin) for x in (ids, count, before))
+        shard, place, log, weight = np.zeros(len(ids), np.int64), np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(ids))
+        both = np.nonzero((ids >= 0) & (head >= 0))[0]
+        if not len(both):
+            return shard, place, log, weight
+        _, first, back = np.unique(head[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64), return_index=True, return_inverse=True)
+        at = both[first]
+        found = self.vocabulary.place(mass[at], context[at], ids[at])
+        places, logs, weights = np.full(len(at), -1), np.zeros(len(at)), np.zeros(len(at))
+        for a, b in _spans(found):
+            if (s := self.level("pairs", int(found[a]))) is not None:
+                p = s.look(head[at[a:b]], ids[at[a:b]])
+                hit = np.flatnonzero(p >= 0)
+                places[a:b], logs[a + hit], weights[a + hit] = p, s.value(0, p[hit]), s.value(1, p[hit])
+        shard[both], place[both], log[both], weight[both] = found[back], places[back], logs[back], weights[back]
+        return shard, place, log, weight
+
     def score(self, h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, base score and score."""
         v = self.vocabulary
@@ -304,33 +399,51 @@ class Model:
         docs = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         total = lambda x: np.bincount(docs, x, len(begin) - 1)
         base = np.log10((count + 0.1) / (v.n + 0.1 * (v.v + 1)))
-        head, context, mass = (_previous(x, begin) for x in (ids, count, before))
+        head, context = (_previous(x, begin) for x in (ids, count))
+        shard, place, seen, weight = self.pairs(ids, count, before, begin)
         log = v.unigram(count) + np.where(head >= 0, np.log10(self.mu / (context + self.mu)), 0)
-        both = np.nonzero((ids >= 0) & (head >= 0))[0]
-        keys, first, back = np.unique(head[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64), return_index=True, return_inverse=True)
-        at = both[first]
-        shard = v.place(mass[at], context[at], ids[at])
-        seen = np.full(len(keys), np.nan)
-        edge = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(shard)]])
-        for a, b in zip(edge, edge[1:]):
-            if a < b and (s := self.successors(int(shard[a]))) is not None:
-                seen[a:b] = s.look(head[at[a:b]], ids[at[a:b]])
-        seen = seen[back]
-        log[both] = np.where(np.isnan(seen), log[both], seen)
+        log = np.where(place >= 0, seen, log)
+        # what follows a pair that was seen
+        after = _followers(place, begin)
+        if len(after):
+            share, known = np.zeros(len(after)), np.flatnonzero(ids[after] >= 0)
+            key = place[after - 1].astype(np.uint64) << np.uint64(v.width) | np.maximum(ids[after], 0).astype(np.uint64)
+            order = known[_by_shard(shard[after - 1][known], key[known])]
+            for a, b in _spans(shard[after - 1][order]):
+                rows = order[a:b]
+                if (s := self.level("triples", int(shard[after[rows[0]] - 1]))) is not None:
+                    keys, back = np.unique(key[rows], return_inverse=True)
+                    p = s.look((keys >> np.uint64(v.width)).astype(np.int64), (keys & np.uint64((1 << v.width) - 1)).astype(np.int64))
+                    got = np.where(p >= 0, 10.0 ** s.value(0, np.maximum(p, 0)), 0.0)
+                    share[rows] = got[back]
+            log[after] = np.log10(share + 10.0 ** (log[after] + weight[after - 1]))
         return np.diff(begin), total(count > 0).astype(np.int64), total(base), total(log)
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", mu: float = MU) -> Model:
+def _followers(place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Tokens, but for a text's first, whose predecessor ends a pair that was seen."""
+    inner = np.ones(len(place), bool)
+    inner[begin[:-1]] = False
+    return np.flatnonzero(inner & (np.concatenate([[-1], place[:-1]]) >= 0)) if len(place) else np.zeros(0, np.int64)
+
+
+def fit(docs: DataFrame, learn: Column, text: str = "text", mu: float = MU, nu: float = NU) -> Model:
     """Counts the texts of the rows for which ``learn`` holds, all of them, and writes the trie."""
     spark = docs.sparkSession
     folder = shared_path(spark, "ngrams")
     rows = docs.where(learn)
     texts = rows.select(F.col(text).alias("text"))
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"])
-    bits = min(12, max(0, (size // (24 << 20)).bit_length()))
+    bits = max(0, (size // (24 << 20)).bit_length())
     top = lambda k: (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64)
-    words = texts.mapInArrow(lambda it: _counted(it, lambda h, begin: h, top), "shard int, parcel binary")
-    made = words.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(_write_words(folder), "shard long, size long, mass long, ones long, twos long").collect()  # a row a shard
+    written = "shard long, size long"
+
+    def gathered(count, write, parts: int, schema: str = written) -> DataFrame:
+        """A task a shard."""
+        parcels = texts.mapInArrow(releasing(count), "shard int, parcel binary")
+        return cut(parcels.repartitionById(parts, "shard").mapInArrow(releasing(write), schema))
+
+    made = gathered(lambda it: _counted(it, lambda h, begin: h, top), _write_words(folder, bits), 1 << bits, f"{written}, mass long, ones long, twos long").collect()  # a row a shard
     sizes, masses = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
     for r in made:
         sizes[r["shard"]], masses[r["shard"]] = r["size"], r["mass"]
@@ -338,15 +451,27 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", mu: float = MU) -> M
         raise ValueError("a vocabulary of more than 2^32 words needs wider pair keys")
     ones, twos = (sum(r[k] for r in made) for k in ("ones", "twos"))
     discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    shards = max(1, min(1 << 16, -(-int(masses.sum()) // SHARD)))
+    shards = max(1, -(-int(masses.sum()) // SHARD))
     vocabulary = Vocabulary(folder, bits, sizes, masses, shards, discount)
 
     def pairs(batches):
         keys, place = _pair_keys(vocabulary)
         yield from _counted(batches, keys, place)
 
-    cut(texts.mapInArrow(pairs, "shard int, parcel binary").repartition(shards, "shard").groupBy("shard").applyInArrow(_write_pairs(vocabulary, folder, mu), "shard long, size long"))
-    return Model(vocabulary, folder, mu)
+    gathered(pairs, _write_pairs(vocabulary, folder, mu, nu), shards)
+    model = Model(vocabulary, folder, mu)
+
+    def triples(batches):
+        def keys(h, begin):
+            ids, count, before = _tokens(vocabulary, h)
+            shard, place, *_ = model.pairs(ids, count, before, begin)
+            after = _followers(place, begin)
+            return place[after - 1].astype(np.uint64) << np.uint64(vocabulary.width) | ids[after].astype(np.uint64), shard[after - 1]
+
+        yield from _counted(batches, keys)
+
+    gathered(triples, _write_triples(vocabulary, folder, nu), shards)
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,4 +484,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chosen.mapInArrow(releasing(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -308,14 +308,17 @@ def test_language_model(docs, clashing, rows, empty, held, monkeypatch):
     training = [t for i, t in texts if i is None or i % 3]
     count = Counter(w for t in training for w in t)
     pairs = Counter(p for t in training for p in zip([None, *t], t))
-    n, v, mu = sum(count.values()), len(count), ngram.MU
+    triples = Counter((h, *p) for t in training for h, p in zip([None, *t], zip(t, t[1:])))
+    n, v, mu, nu = sum(count.values()), len(count), ngram.MU, ngram.NU
     ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
     d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
     alone = lambda w: (count[w] - d) / n if count[w] else d * v / n
     assert math.isclose(sum(map(alone, count)) + d * v / n, 1)
     want = defaultdict(list)
     for i, t in texts:
-        log = sum(math.log10((pairs[h, w] + mu * alone(w)) / (count[h] + mu) if count[h] else alone(w)) for h, w in zip([None, *t], t))
+        two = [(pairs[h, w] + mu * alone(w)) / (count[h] + mu) if count[h] else alone(w) for h, w in zip([None, *t], t)]
+        before = [0, *(pairs[p] for p in zip([None, *t], t))]
+        log = sum(math.log10((triples[g] + nu * p) / (c + nu) if c else p) for g, p, c in zip(zip([None, None, *t], [None, *t], t), two, before))
         want[i].append((len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), log))
     model = ngram.fit(docs, learn)
     got = defaultdict(list)
