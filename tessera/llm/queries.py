@@ -32,7 +32,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), words=vocabulary("byte_bpe_50k.json"))
 
 
 def _fold(name: str, n: int):

@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and values in credential contexts that would be costly to guess.
 
 The guess cost of a value is the least, over its segmentations, of the product of each span's guesses:
-a common word (with capitals and look-alike digits), a date, a repeat, a keyboard or alphabet walk, or
+a common word (with capitals and look-alike digits; by its rank in a public vocabulary), a date, a repeat, a keyboard or alphabet walk, or
 brute force. It is found by shortest paths over the value's end places. Values behind a word for
 a credential that no pattern takes whole, and that cost at least ``MIN_LOG10`` to guess, are added.
 
@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +53,20 @@ WORDS = (
     "red green blue black white orange purple silver golden tiger eagle wolf lion bear horse house money secure security safe login temp john michael david james "
     "robert daniel thomas jennifer jessica maria anna"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+
+
+@lru_cache(maxsize=4)
+def ranks(path: str = "") -> dict[str, int]:
+    """Common words by rank: those of ``WORDS``, then of a byte-level vocabulary's file the tokens that begin a
+    word and are letters, in its order, which is that of how often they are met."""
+    tokens: list[str] = []
+    if path:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        tokens = [t[1:].lower() for t in sorted(vocabulary, key=vocabulary.get) if t[:1] == "\u0120" and len(t) > 3 and t[1:].isascii() and t[1:].isalpha()]
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *tokens]))}
+
+
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 _NEXT = {a + b for row in _ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
@@ -69,10 +85,10 @@ def _variants(part: str) -> float:
 
 
 @lru_cache(maxsize=1 << 12)
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def guess_cost(value: str, enough: float = math.inf, words: str = "") -> float:
     """log10 of the guesses that the cheapest segmentation needs; of a costlier one than ``enough``, a
-    lower bound that is at least ``enough``."""
-    n = len(value)
+    lower bound that is at least ``enough``. ``words``: see ``ranks``."""
+    n, rank_of = len(value), ranks(words)
     lower = "".join(low if len(low := c.lower()) == 1 else c for c in value)
     plain = lower.translate(_LEET)
     kinds = (str.islower, 26), (str.isupper, 26), (str.isdigit, 10)
@@ -118,7 +134,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         reach(i + 1, alone)
         for j in range(i + 3, min(n, i + 14) + 1):
             for text in {lower[i:j], plain[i:j]}:
-                if rank := RANK.get(text):
+                if rank := rank_of.get(text):
                     reach(j, joint + _log(rank * _variants(value[i:j]) + 1))
         if m := _DATE.match(value, i):
             reach(m.end(), joint + _log(365.0 * 120 * (4 if m.group(1) or m.group(2) else 1) if m.end() - i > 4 else 120))
@@ -152,40 +168,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str, taken: list[tuple[int, int, int]], least: float = MIN_LOG10) -> list[tuple[int, int, int]]:
-    """Values in credential contexts, not within one of the spans taken, that are costly to guess."""
+def guessed_spans(text: str, taken: list[tuple[int, int, int]], least: float = MIN_LOG10, words: str = "") -> list[tuple[int, int, int]]:
+    """Values in credential contexts, not within one of the spans taken (in order), that are costly to guess."""
     out = []
+    begins, ends = [x for x, _, _ in taken], list(accumulate((y for *_, y in taken), max))
     for m in CONTEXT.finditer(text):
         value = m.group(1).rstrip(_TRIM)
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) < MIN_LENGTH or any(x <= a and b <= y for x, _, y in taken):
+        before = bisect_right(begins, a)
+        if len(value) < MIN_LENGTH or before and b <= ends[before - 1]:
             continue
         # plain words are prose that follows the context word, not a value
         if value.isalpha() and (value == value.lower() or value.istitle()):
             continue
-        if guess_cost(value, least) >= least:
+        if guess_cost(value, least, words) >= least:
             out.append((a, 3, b))
     return out
 
 
-def find(text: str | None, least: float = MIN_LOG10) -> tuple[list, list]:
+def find(text: str | None, least: float = MIN_LOG10, words: str = "") -> tuple[list, list]:
     """Base spans and all spans, each by start, then kind."""
     if not text or not (_HINT.search(text) or "AKIA" in text or HEX.search(text)):
         return [], []
     base = base_spans(text)
-    return base, sorted(base + guessed_spans(text, base, least))
+    return base, sorted(base + guessed_spans(text, base, least, words))
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan(least: float):
+def _scan(least: float, words: str):
     def run(batches):
         for batch in batches:
             keys, cols = batch.column(0), ([], [], [], [], [])
             for text in batch.column(1).to_pylist():
-                base, every = find(text, least)
+                base, every = find(text, least, words)
                 for k in range(3):
                     cols[k].append(sum(x[1] == k for x in base))
                 cols[3].append(hashlib.sha256(render(base).encode()).hexdigest())
@@ -196,10 +214,10 @@ def _scan(least: float):
     return run
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_LOG10) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_LOG10, words: str = "") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans; a row a document."""
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(releasing(_scan(least), guess_cost.cache_clear), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return chosen.mapInArrow(releasing(_scan(least, words), guess_cost.cache_clear), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -212,14 +230,14 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text: str = "text", least: float = MIN_LOG10) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", least: float = MIN_LOG10, words: str = "") -> DataFrame:
     """``docs`` with every span masked; a column ``n_chars`` follows the text. All rows stay."""
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
             old = batch.column(at).to_pylist()
-            new = [mask(t, s) if t and (s := find(t, least)[1]) else t for t in old]
+            new = [mask(t, s) if t and (s := find(t, least, words)[1]) else t for t in old]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             if (n := batch.schema.get_field_index("n_chars")) >= 0:
                 sizes = [size if a is b or a == b else len(b) for a, b, size in zip(old, new, batch.column(n).to_pylist())]
