@@ -51,8 +51,8 @@ def _search(query: str, k: int = 10, plain: bool = False, bm25: Bm25 = Bm25()):
 
 def tokenize_raw(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokens = docs.select("doc_id", F.explode(analysis.analyze_udf(RAW)("text")).alias("t"))
-    return tokens.select("doc_id", F.col("t.pos").cast("long").alias("pos"), F.col("t.term").alias("term"))
+    tokens = docs.select("doc_id", F.posexplode(analysis.normalize_udf()(analysis.words(F.col("text")))).alias("pos", "term"))
+    return tokens.select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
 
 
 def normalize_words(spark, sf_dir):
@@ -164,15 +164,10 @@ def append_and_reseal(spark, sf_dir):
     return Searcher(session.index, pruning=False).search(FLAGSHIP)
 
 
-def _benchmark_queries(spark, sf_dir) -> dict[int, str]:
-    """The first words of the benchmark's items, a bounded table of queries, as optional terms."""
-    words = F.slice(analysis.words(F.col("text")), 1, 6)
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.array_join(words, " ").alias("q")).toLocalIterator()
-    return {r["item_id"]: r["q"] for r in rows}
-
-
 def batch_topk(spark, sf_dir):
-    hits = Searcher(index_of(spark, sf_dir)).batch(_benchmark_queries(spark, sf_dir), 5)
+    """The benchmark's items as queries, all their words as optional terms."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    hits = Searcher(index_of(spark, sf_dir)).batch_terms(asked, 5)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
@@ -270,7 +265,7 @@ def _oracles() -> dict[str, str]:
     total = f"(SELECT coalesce(sum({O.vlen('gap')} + {O.vlen('tf')} + bytes), 0)::BIGINT FROM gap JOIN pos USING (term, doc_id))"
     value = O.bm25("tf", "length", "df")
     batch_terms = f"""
-      qw AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')[1:6] AS ws FROM benchmark)),
+      qw AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM benchmark)),
       qn AS (SELECT item_id, pos, lower(strip_accents(w)) AS n FROM qw),
       qk AS (SELECT * FROM qn WHERE length(n) >= 2 AND n NOT IN ({", ".join(f"'{w}'" for w in sorted(analysis.STOPWORDS))})),
       q1 AS (SELECT item_id, pos, {O._strip("n")} AS s FROM qk), q2 AS (SELECT item_id, pos, {O._strip("s")} AS term FROM q1)"""

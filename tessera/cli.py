@@ -59,7 +59,7 @@ def _show(engine: Engine, query: str, limit: int, as_json: bool = False, explain
     began = time.time()
     rows = engine.search(query, limit).collect() if limit > 0 else []
     took = (time.time() - began) * 1000
-    stats = engine.searcher().stats(query).first() if as_json or explained else None
+    stats = engine.searcher().counters(query, limit).first() if as_json or explained else None
     out = render.results_json(query, rows, stats, took) if as_json else render.results(query, rows, render.Style())
     return out + ("\n\n" + render.explain(stats) if explained and not as_json else "")
 

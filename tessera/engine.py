@@ -74,7 +74,7 @@ class Engine:
         return self.searcher().results(query, k, self.highlighter)
 
     def search_with_stats(self, query: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
-        return self.search(query, k), self.searcher().stats(query)
+        return self.search(query, k), self.searcher().counters(query, k)
 
     def stats(self) -> DataFrame:
         return self.index.stats()

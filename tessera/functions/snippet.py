@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
@@ -48,10 +49,19 @@ class Highlighter:
         """Begins at the hit from which most distinct terms are within reach, the earliest such; a quarter
         of the room is left before it."""
         most, anchor = 0, hits[0].start
+        near: Counter[str] = Counter()
+        after = 0  # the first hit out of reach
         for i, hit in enumerate(hits):
-            near = {h.term for h in hits[i:] if h.end <= hit.start + self.max_chars}
+            if after <= i:  # a hit wider than the room is out of reach even of itself
+                near.clear()
+                after = i
+            while after < len(hits) and hits[after].end <= hit.start + self.max_chars:
+                near[hits[after].term] += 1
+                after += 1
             if len(near) > most:
                 most, anchor = len(near), hit.start
+            near[hit.term] -= 1
+            near += Counter()  # drops what is not above 0
         start = floor_boundary(data, max(0, anchor - self.max_chars // 4))
         return start, ceil_boundary(data, start + self.max_chars)
 

@@ -59,6 +59,8 @@ class Index:
     saved_terms: DataFrame | None = None
     saved_blocks: DataFrame | None = None
     totals: tuple[int, int] | None = None
+    #: (vocabulary, postings, bytes of the postings), where they are known
+    sizes: tuple[int, int, int] | None = None
 
     # -- scans -----------------------------------------------------------------
     def term(self, *terms: str) -> DataFrame:
@@ -78,9 +80,9 @@ class Index:
             return self.saved_terms
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len"))
 
-    def numbered(self) -> DataFrame:
+    def numbered(self, postings: DataFrame | None = None) -> DataFrame:
         """Postings with ``nth``, their place in the term's list by document, from 0."""
-        ranged = self.postings.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
+        ranged = (self.postings if postings is None else postings).withColumn("_range", F.floor(F.col("doc_id") / RANGE))
         counts = ranged.groupBy("term", "_range").agg(F.count("*").alias("_n"))
         before = W.partitionBy("term").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
         offsets = counts.select("term", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -90,12 +92,22 @@ class Index:
 
     def blocks(self) -> DataFrame:
         """(term, block_no, last_doc, count, max_tf, min_len) of each 128 postings."""
+        return self.block_table().select("term", "block_no", "last_doc", "count", "max_tf", "min_len")
+
+    def block_table(self) -> DataFrame:
+        """``blocks`` with ``first_doc`` and ``bytes``, what the block's postings would take. One pass: a block is an
+        array of at most 128 postings without their positions."""
         if self.saved_blocks is not None:
             return self.saved_blocks
-        placed = self.numbered().withColumn("block_no", F.floor(F.col("nth") / BLOCK_SIZE))
-        return placed.groupBy("term", "block_no").agg(
-            F.max("doc_id").alias("last_doc"), F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len")
+        slim = self.postings.select("term", "doc_id", "tf", "length", codec.positions_length(F.col("positions")).alias("_positions"))
+        placed = self.numbered(slim).withColumn("block_no", F.floor(F.col("nth") / BLOCK_SIZE))
+        held = placed.groupBy("term", "block_no").agg(
+            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len"),
+            F.sum(codec.varint_length(F.col("tf")) + F.col("_positions")).alias("_rest"), F.sort_array(F.collect_list("doc_id")).alias("_docs"),
         )
+        gaps = F.zip_with("_docs", F.concat(F.array(F.lit(0).cast("long")), F.slice("_docs", 1, F.size("_docs") - 1)), lambda a, b: codec.varint_length(a - b).cast("long"))
+        size = F.col("_rest") + F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+        return held.withColumn("bytes", size.cast("long")).drop("_rest", "_docs")
 
     def gaps(self) -> DataFrame:
         """(term, doc_id, gap): from the posting before in its block; a block's first stands as it is."""
@@ -105,8 +117,7 @@ class Index:
 
     def postings_bytes(self) -> DataFrame:
         """One row: bytes that the postings would take as gaps and variable-length integers."""
-        size = codec.varint_length(F.col("gap")) + codec.varint_length(F.col("tf")) + codec.positions_length(F.col("positions"))
-        return self.gaps().agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("postings_bytes"))
+        return self.block_table().agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("postings_bytes"))
 
     def corpus(self) -> DataFrame:
         """One row: n_docs, total_length. Documents without tokens count."""
@@ -123,6 +134,10 @@ class Index:
 
     def stats(self) -> DataFrame:
         """One row: documents, vocabulary, postings, avg_doc_len, postings_bytes."""
+        if self.totals is not None and self.sizes is not None:
+            (n, total), (vocabulary, postings, size) = self.totals, self.sizes
+            row = (n, vocabulary, postings, total / n if n else 0.0, size)
+            return self.documents.sparkSession.createDataFrame([row], "documents long, vocabulary long, postings long, avg_doc_len double, postings_bytes long")
         average = F.when(F.col("n_docs") > 0, F.col("total_length") / F.col("n_docs")).otherwise(0.0)
         docs = self.corpus().select(F.col("n_docs").alias("documents"), average.alias("avg_doc_len"))
         counts = self.terms().agg(F.count("*").alias("vocabulary"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("postings"))
@@ -132,7 +147,7 @@ class Index:
     def bounds(self, bm25: Bm25, blocks: bool = False) -> DataFrame:
         """Terms (or blocks) with ``upper_bound``, which no posting's score exceeds."""
         n, total = self.collection()
-        table = self.blocks().join(self.terms().select("term", "df"), "term") if blocks else self.terms()
+        table = self.block_table().join(self.terms().select("term", "df"), "term") if blocks else self.terms()
         average = F.lit(total / n if n else 0.0)
         return table.withColumn("upper_bound", bm25.score_expr(F.col("max_tf"), F.col("min_len"), average, bm25.idf_expr(F.col("df"), F.lit(float(n)))))
 
@@ -189,6 +204,10 @@ def build(docs: DataFrame, analyzer: Analyzer | None = None) -> Index:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     postings = source.select("doc_id", "text").mapInArrow(_postings(analyzer), POSTINGS)
-    lengths = postings.select("doc_id", "length").distinct()
-    documents = source.join(lengths, "doc_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    return Index(documents, postings, analyzer)
+    return Index(with_lengths(source, postings), postings, analyzer)
+
+
+def with_lengths(source: DataFrame, postings: DataFrame) -> DataFrame:
+    """``source`` with each document's number of tokens, which all its postings hold."""
+    lengths = postings.groupBy("doc_id").agg(F.first("length").alias("length"))
+    return source.join(lengths, "doc_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.analysis import analyze_udf
 from tessera.functions.ranking import Bm25
 from tessera.functions.snippet import Highlighter, snippet_udf
 from tessera.operators.index import Index
@@ -21,6 +22,8 @@ from tessera.plans.query import Occur, Query, parse
 CLAUSE = "query_id long, clause_id int, occur string, slots int, term string, offset int"
 #: Terms that a scan is filtered by as literals; beyond, the join with the clauses alone decides.
 LITERALS = 1000
+#: Ranges of document ids that blocks' bounds are added up in.
+RANGES = 1 << 16
 #: A score is rounded before it is ordered by, so that the order of a sum cannot break ties.
 DIGITS = 6
 
@@ -68,7 +71,12 @@ def scored(index: Index, queries: dict[int, Query], bm25: Bm25) -> DataFrame:
     """(query_id, doc_id, score) of all documents that match."""
     n, total = index.collection()
     found = matches(index, queries)
-    dfs = found.groupBy("query_id", "clause_id").agg(F.count("*").alias("df"))
+    if index.saved_terms is not None and not any(q.has_phrase for q in queries.values()):
+        terms = sorted({t for q in queries.values() for c in q.clauses for t, _ in c.terms})
+        saved = index.terms().where(F.col("term").isin(*terms)) if len(terms) <= LITERALS else index.terms()
+        dfs = saved.select("term", "df").join(clause_table(index, queries), "term").select("query_id", "clause_id", "df")
+    else:
+        dfs = found.groupBy("query_id", "clause_id").agg(F.count("*").alias("df"))
     average = F.lit(total / n if n else 0.0)
     value = bm25.score_expr(F.col("tf"), F.col("length"), average, bm25.idf_expr(F.col("df"), F.lit(float(n))))
     wanted = F.col("occur") != Occur.MUST_NOT.value
@@ -114,14 +122,21 @@ class Searcher:
     def pruned(self, query: Query | str, k: int = 10) -> DataFrame:
         """The same hits by upper bounds. The k-th best score of one clause alone is a score that k documents
         reach; documents in which all clauses' bounds add up to less cannot be among the best. Such are those
-        that hold only clauses with the lowest bounds, and those of the other clauses' blocks with low bounds.
+        that hold only clauses with the lowest bounds, and those in ranges of ids in which the bounds of all
+        clauses' blocks add up to less: of these, no posting is read.
         """
+        return self._pruned(query, k)[0]
+
+    def _pruned(self, query: Query | str, k: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, int]:
+        """The hits; the documents scored (None: all) and the blocks with ``kept``, of the plan that gives them;
+        candidates."""
         query = self._query(query)
         terms = [c.terms[0][0] for c in query.clauses]
         rows = {r["term"]: r for r in self.index.bounds(self.bm25).where(F.col("term").isin(*terms)).collect()}  # a row a term
         present = sorted((t for t in terms if t in rows), key=lambda t: rows[t]["upper_bound"])
+        candidates = sum(rows[t]["df"] for t in present)
         if not present or k <= 0:
-            return self.exhaustive(query, k)
+            return self.exhaustive(query, k), None, None, candidates
         n, total = self.index.collection()
         average = F.lit(total / n if n else 0.0)
 
@@ -139,17 +154,64 @@ class Searcher:
             low.append(t)
         high = present[len(low) :]
         if not high:
-            return self.exhaustive(query, k)
+            return self.exhaustive(query, k), None, None, candidates
+        times = {t: present.count(t) for t in present}
+        width = max(1, -(-self.index.next_id() // RANGES))
+        ranges, blocks = self._ranges(times, threshold, width)
         posts = self.index.term(*set(present)).select("term", "doc_id", "tf", "length")
+        span = ranges.agg(F.min("range").alias("lo"), F.max("range").alias("hi")).first()
+        if span["lo"] is not None:
+            posts = posts.where((F.col("doc_id") >= span["lo"] * width) & (F.col("doc_id") < (span["hi"] + 1) * width))
+        # at most RANGES rows of a long
+        posts = posts.withColumn("range", F.floor(F.col("doc_id") / width)).join(F.broadcast(ranges), "range", "left_semi").drop("range")
         docs = posts.where(F.col("term").isin(*set(high))).select("doc_id").distinct()
         kept = posts.join(docs, "doc_id", "left_semi") if low else posts
-        times = {t: present.count(t) for t in present}
         total_value = None
         for t in times:
             part = F.when(F.col("term") == t, value(t) * times[t])
             total_value = part if total_value is None else total_value.when(F.col("term") == t, value(t) * times[t])
         hits = kept.groupBy("doc_id").agg(F.round(F.sum(total_value), DIGITS).alias("score"))
-        return top_k(hits, k)
+        return top_k(hits, k), hits, blocks, candidates
+
+    def _ranges(self, times: dict[str, int], threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
+        """The ranges of ``width`` ids in which the block bounds of the terms add up to the threshold, and the
+        terms' blocks with ``kept``: whether they reach into one of these."""
+        terms = list(times)
+        blocks = self.index.bounds(self.bm25, blocks=True).where(F.col("term").isin(*terms)).select("term", "block_no", "first_doc", "last_doc", "upper_bound")
+        lo, hi = F.floor(F.col("first_doc") / width), F.floor(F.col("last_doc") / width)
+        spread = blocks.withColumn("range", F.explode(F.sequence(lo, hi)))  # at most RANGES rows a term, and one a block
+        weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(n)) for t, n in times.items()])
+        best = spread.groupBy("range", "term").agg(F.max("upper_bound").alias("b"))
+        ranges = best.groupBy("range").agg(F.sum(F.col("b") * weight).alias("reach")).where(F.col("reach") >= threshold).select("range")
+        kept = spread.join(F.broadcast(ranges.withColumn("in", F.lit(True))), "range", "left").groupBy("term", "block_no").agg(F.max(F.coalesce("in", F.lit(False))).alias("kept"))
+        return ranges, kept
+
+    def counters(self, query: Query | str, k: int = 10) -> DataFrame:
+        """One row of what pruning spares for the best ``k``: candidates (postings of all clauses), scored and pruned
+        (documents), blocks and blocks_skipped. Without pruning, everything is scored."""
+        query = self._query(query)
+        every = scored(self.index, {0: query}, self.bm25).agg(F.count("*").alias("n")).first()["n"]
+        hits = blocks = None
+        candidates = matches(self.index, {0: query}).where(F.col("occur") != Occur.MUST_NOT.value).count() if self.strategy(query) != "wand" else None
+        if self.strategy(query) == "wand" and self.index.on_disk:
+            _, hits, blocks, candidates = self._pruned(query, k)
+        done = hits.count() if hits is not None else every
+        counted = blocks.agg(F.count("*").alias("n"), F.count(F.when(~F.col("kept"), 1)).alias("skipped")).first() if blocks is not None else {"n": 0, "skipped": 0}
+        row = (self.strategy(query), candidates if candidates is not None else every, done, every - done, counted["n"], counted["skipped"])
+        return self.index.documents.sparkSession.createDataFrame([row], "strategy string, candidates long, scored long, pruned long, blocks long, blocks_skipped long")
+
+    def batch_terms(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, rank, doc_id, score) of queries (query_id, text), each of all its text's words as optional
+        terms. Queries are a table like any other: nothing of them comes to the driver."""
+        n, total = self.index.collection()
+        words = queries.select("query_id", F.explode(analyze_udf(self.index.analyzer)(F.coalesce("text", F.lit("")))).alias("t"))
+        wanted = words.groupBy("query_id", F.col("t.term").alias("term")).agg(F.count("*").alias("times"))
+        found = self.index.postings.select("term", "doc_id", "tf", "length").join(wanted, "term").join(self.index.terms().select("term", "df"), "term")
+        average = F.lit(total / n if n else 0.0)
+        value = self.bm25.score_expr(F.col("tf"), F.col("length"), average, self.bm25.idf_expr(F.col("df"), F.lit(float(n)))) * F.col("times")
+        hits = found.groupBy("query_id", "doc_id").agg(F.round(F.sum(value), DIGITS).alias("score"))
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
     def batch(self, queries: dict[int, str], k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score) of many queries in one plan; those without a term have no rows."""

@@ -29,13 +29,14 @@ def results_json(query: str, rows: Iterable, stats=None, elapsed_ms: float = 0.0
     hits = [{k: r[k] for k in ("uri", "title", "score", "snippet")} for r in rows]
     body = {"query": query, "elapsed_ms": round(elapsed_ms, 3), "count": len(hits)}
     if stats is not None:
-        body |= {"blocks_skipped": 0, "strategy": stats["strategy"], "candidates": stats["candidates"], "scored": stats["scored"]}
+        body |= {k: stats[k] for k in ("pruned", "blocks_skipped") if k in stats}
+        body |= {"strategy": stats["strategy"], "candidates": stats["candidates"], "scored": stats["scored"]}
     return json.dumps(body | {"results": hits}, ensure_ascii=False)
 
 
 def explain(stats) -> str:
     avoided = 100 * (1 - stats["scored"] / stats["candidates"]) if stats["candidates"] else 0.0
-    return f"strategy: {stats['strategy']}\npostings: {stats['candidates']}\nscored:   {stats['scored']}\navoided:  {avoided:.1f} %"
+    return f"strategy: {stats['strategy']}\npostings: {stats['candidates']}\nscored:   {stats['scored']}\navoided:  {avoided:.1f} %" + (f"\nblocks:   {stats['blocks_skipped']} of {stats['blocks']} skipped" if "blocks" in stats else "")
 
 
 def stats(path: str, row, on_disk: bool) -> str:

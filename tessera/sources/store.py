@@ -8,12 +8,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tessera.functions.analysis import Analyzer
-from tessera.operators.index import Index
+from tessera.operators.index import Index, with_lengths
 from tessera.sources.files import Files
 
-FORMAT = 1
+FORMAT = 2
 TABLES = ("postings", "documents", "terms", "blocks")
 
 
@@ -34,15 +35,23 @@ def save(index: Index, path: str) -> Index:
     files = Files(spark, path)
     if files.exists(path):
         files.delete(path)
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
-    posts = spark.read.parquet(f"{path}/postings")
-    index.documents.write.parquet(f"{path}/documents")
-    docs = spark.read.parquet(f"{path}/documents")
+    # texts are analysed once: the sort's sample, the sort and the lengths read what that wrote
+    index.postings.write.parquet(f"{path}/unsorted")
+    unsorted = spark.read.parquet(f"{path}/unsorted")
+    unsorted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    source = index.documents.select("doc_id", "uri", "title", "text")
+    with_lengths(source, unsorted).write.parquet(f"{path}/documents")
+    docs, posts = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
     written = Index(docs, posts, index.analyzer)
-    written.terms().repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    written.blocks().repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no").write.parquet(f"{path}/blocks")
+    written.block_table().repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no").write.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    terms = blocks.groupBy("term").agg(F.sum("count").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    files.delete(f"{path}/unsorted")
     n, total = written.collection()
-    meta = {"format": FORMAT, "n_docs": n, "total_length": total, "analyzer": json.loads(index.analyzer.to_json())}
+    sizes = blocks.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    vocabulary = spark.read.parquet(f"{path}/terms").count()
+    meta = {"format": FORMAT, "n_docs": n, "total_length": total, "vocabulary": vocabulary, "postings": sizes["n"], "postings_bytes": sizes["b"], "analyzer": json.loads(index.analyzer.to_json())}
     files.write(f"{path}/meta.json", json.dumps(meta))
     return load(spark, path)
 
@@ -65,4 +74,4 @@ def load(spark: SparkSession, path: str) -> Index:
         if not files.exists(f"{path}/{t}/_SUCCESS"):
             raise StoreError("incomplete", f"{path}: table {t} is missing")
     posts, docs, terms, blocks = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
-    return Index(docs, posts, Analyzer.from_json(json.dumps(meta["analyzer"])), path, terms, blocks, (meta["n_docs"], meta["total_length"]))
+    return Index(docs, posts, Analyzer.from_json(json.dumps(meta["analyzer"])), path, terms, blocks, (meta["n_docs"], meta["total_length"]), tuple(meta[k] for k in ("vocabulary", "postings", "postings_bytes")))

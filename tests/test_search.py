@@ -151,3 +151,35 @@ def test_empty_index(spark):
     empty = build(spark.createDataFrame([], "doc_id long, text string"), RAW)
     assert rows(Searcher(empty).search("ant")) == []
     assert empty.stats().first()["avg_doc_len"] == 0.0
+
+
+def test_whole_blocks_are_skipped(spark, tmp_path):
+    """Documents of the first tenth hold the terms six times: the blocks of the others can't reach the best."""
+    texts = []
+    for i in range(3000):
+        many = 6 if i < 300 else 1
+        texts.append((i, " ".join(f"term{t}" for t in range(4) if i % 2**t == 0 for _ in range(many)) + " " + " ".join(f"filler{j}" for j in range(i % 40))))
+    s = Searcher(store.save(build(spark.createDataFrame(texts, "doc_id long, text string"), RAW), f"file://{tmp_path}/i"))
+    for query, k in (("term0 term1", 5), ("term0 term1 term2", 3), ("term0 term0 term3", 10), ("term2", 4)):
+        assert [tuple(r) for r in s.pruned(query, k).collect()] == [tuple(r) for r in s.exhaustive(query, k).collect()]
+    got = s.counters("term0 term1", 5).first()
+    assert got["candidates"] == 4500 and got["blocks"] == 24 + 12
+    assert got["blocks_skipped"] > 18 and got["scored"] + got["pruned"] == 3000 and got["pruned"] > 2000
+    plain = s.counters("+term0 +term1", 5).first()
+    assert (plain["strategy"], plain["scored"], plain["pruned"], plain["blocks_skipped"]) == ("exhaustive", 1500, 0, 0)
+
+
+def test_batch_of_a_table(spark, saved, texts):
+    """Each query's words, repeated ones too, as optional terms."""
+    asked = {1: "ant bee ant", 2: "cat", 3: "", 4: "zebra"}
+    s = Searcher(saved)
+    got = s.batch_terms(spark.createDataFrame([*asked.items(), (5, None)], "query_id long, text string"), 3).collect()
+    for q, text in asked.items():
+        want = [(r["doc_id"], r["score"]) for r in s.exhaustive(text, 3).collect()] if text and text != "zebra" else []
+        assert [(r["doc_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_saved_statistics(saved):
+    assert saved.sizes is not None
+    fresh = build(saved.documents.select("doc_id", "text"), saved.analyzer)
+    assert tuple(saved.stats().first()) == tuple(fresh.stats().first())
