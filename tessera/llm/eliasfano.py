@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+_L8, _H8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_55, _33, _0F = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+_1, _2, _3, _4, _6, _8, _56, _63, _64 = (np.uint64(x) for x in (1, 2, 3, 4, 6, 8, 56, 63, 64))
+#: Place of the nth one of a byte, at 8 * byte + n.
+_IN_BYTE = np.array([[*[i for i in range(8) if byte >> i & 1], *[0] * 8][:8] for byte in range(256)], np.uint8).ravel()
 
 
 def select_in_word(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """Place of the nth (from 0) one in each 64-bit word."""
-    at, word, nth = np.zeros(len(word), np.int64), word.copy(), nth.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        up = nth >= below
-        nth -= np.where(up, below, 0)
-        word >>= np.where(up, np.uint64(width), np.uint64(0))
-        at += np.where(up, width, 0)
-    return at
+    """Place of the nth (from 0) one in each 64-bit word: its byte by running counts of all eight at once, then a table."""
+    nth = nth.astype(np.uint64)
+    sums = word - ((word >> _1) & _55)
+    sums = (sums & _33) + ((sums >> _2) & _33)
+    sums = ((sums + (sums >> _4)) & _0F) * _L8
+    # bytes whose running count is not above nth
+    before = np.bitwise_count((((nth * _L8) | _H8) - sums) & _H8).astype(np.uint64) << _3
+    left = nth - (((sums << _8) >> before) & np.uint64(0xFF))
+    byte = (word >> before) & np.uint64(0xFF)
+    return (before + _IN_BYTE[(byte << _3) | left]).astype(np.int64)
 
 
 class EliasFano:
@@ -68,25 +73,54 @@ class EliasFano:
         at = word * 64 + select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
         return ((at - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many values have upper parts below ``h``."""
+    def _bucket(self, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with these upper parts begin and end."""
         zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
-        k = np.maximum(h - 1, 0)
+        k = np.maximum(upper - 1, 0)
         word = np.minimum(np.searchsorted(zeros, k, "right") - 1, len(self.high) - 1)
-        at = word * 64 + select_in_word(~self.high[word], k - zeros[word])
-        return np.where(h > 0, np.minimum(at - k, self.n), 0)
+        at = np.where(upper > 0, word * 64 + select_in_word(~self.high[word], k - zeros[word]) + 1, 0)
+        lo = at - upper
+        # the ones that follow the zero, up to the end of their word
+        word = np.minimum(at >> 6, len(self.high) - 1)
+        rest = ~self.high[word] >> (at & 63).astype(np.uint64)
+        run = np.bitwise_count((rest & (~rest + _1)) - _1).astype(np.int64)
+        over = np.flatnonzero(rest == 0)
+        run[over] = 64 - (at[over] & 63)
+        word = word[over]
+        while len(over):  # and on through the words after it
+            word = word + 1
+            inside = word < len(self.high)
+            over, word = over[inside], word[inside]
+            flat = ~self.high[word]
+            run[over] += np.bitwise_count((flat & (~flat + _1)) - _1).astype(np.int64)
+            over, word = over[flat == 0], word[flat == 0]
+        return np.minimum(lo, self.n), np.minimum(lo + run, self.n)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value not below each ``x`` (successor search); ``n`` if there is none."""
+        return self._search(x)[0]
+
+    def find_equal(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value equal to each ``x``; -1 if there is none."""
+        at, end, low = self._search(x)
+        inside = np.flatnonzero(at < end)
+        out = np.full(len(at), -1)
+        hit = inside[self.lows(at[inside]) == low[inside]]
+        out[hit] = at[hit]
+        return out
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.asarray(x, np.uint64)
         limit = len(self.high) * 64 - self.n - 1
-        upper = np.minimum((x >> np.uint64(self.bits)).astype(np.int64), limit)
-        lo, hi = self._before(upper), self._before(np.minimum(upper + 1, limit))
-        hi = np.maximum(lo, hi)
+        upper = (x >> np.uint64(self.bits)).astype(np.int64)
+        beyond = upper > limit
+        lo, end = self._bucket(np.minimum(upper, limit))
+        lo, end = np.where(beyond, self.n, lo), np.where(beyond, self.n, end)
+        hi = end.copy()
         low = x & np.uint64((1 << self.bits) - 1)
         while (open_ := np.nonzero(lo < hi)[0]).size:
             mid = (lo[open_] + hi[open_]) // 2
             small = self.lows(mid) < low[open_]
             lo[open_] = np.where(small, mid + 1, lo[open_])
             hi[open_] = np.where(small, hi[open_], mid)
-        return lo
+        return lo, end, low

@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ SHARD = 3_000_000
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SLICE = 400
+#: Bytes of text that are looked at together.
+_SLICE = 3 << 20
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +68,13 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _slices(batches, column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, _SLICE):
-            part = batch.slice(lo, _SLICE)
-            yield part, *token_hashes(part.column(column))
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        nth = np.cumsum(sizes) // _SLICE
+        edges = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo < hi:
+                part = batch.slice(lo, hi - lo)
+                yield part, *token_hashes(part.column(column))
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray], shards: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
@@ -209,9 +215,8 @@ class Vocabulary:
                 continue
             words, run = got
             x = h[a:b] - np.uint64(self.base(i))
-            at = words.find(x)
-            there = np.flatnonzero(at < words.n)
-            there = there[words.access(at[there]) == x[there]]
+            at = words.find_equal(x)
+            there = np.flatnonzero(at >= 0)
             at, to = at[there], a + there
             low, high = run.access(at).astype(np.int64), run.access(at + 1).astype(np.int64)
             ids[to], count[to], before[to] = self.first[i] + at, high - low, self.mass[i] + low
@@ -327,10 +332,8 @@ class Successors:
         some = (inside & (lo < hi))[back]
         lo, hi, base = lo[back], hi[back], base[back]
         target = (base + tails)[some]
-        at = self.ids.find(target)
+        at = self.ids.find_equal(target)
         valid = (at >= lo[some]) & (at < hi[some])
-        at = np.where(valid, at, 0)
-        valid &= self.ids.access(at).astype(np.int64) == target
         out[some] = np.where(valid, at, -1)
         return out
 
