@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tessera.llm import neardup, secrets, wavelet
+from tessera.llm import neardup, queries, secrets, toxicity, wavelet
 
 
 def shingled(text):
@@ -119,3 +121,46 @@ def test_values_that_a_pattern_cuts_are_masked_whole():
     ):
         assert secrets.mask(text, secrets.find(text)[1]) == masked
     assert guessed("password=abcdefQ9x7Zk4") == []  # the pattern has all of it
+
+
+# -- 6, 7 ------------------------------------------------------------------------
+def _written(spark, tmp_path, texts, labels=()):
+    at = f"{tmp_path}/sf"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{at}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"file://{at}/labels.parquet")
+    return f"file://{at}"
+
+
+def test_held_out_labels_teach_nothing(spark, tmp_path):
+    """A word that only held-out documents are toxic for isn't learnt; scores follow the folds of the contract."""
+    rng = random.Random(6)
+    out = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(400)]
+    texts, labels = [], []
+    for i in range(400):
+        w = [f"plain{rng.randrange(50)}" for _ in range(20)]
+        if bad := i % 4 == 0:
+            w[3] = "heldoutword" if out[i] and i % 8 == 0 else "learntword"
+        texts.append(" ".join(w))
+        labels.append((i, None, int(bad)))
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, _written(spark, tmp_path, texts, labels)).collect()}
+    assert [got[i]["held_out"] for i in range(400)] == out
+    assert all(got[i]["predicted"] == (got[i]["score"] >= 0.5) == ("learntword" in texts[i]) for i in range(400))
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "fine ") * 200) for i in range(40)] + [(1, "bad " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    learn = F.lit(True)
+    assert toxicity.fit(docs, labels, learn, most_bytes=10).weight.any() == False  # noqa: E712
+    assert toxicity.fit(docs, labels, learn, most_bytes=20_000).weight.any()
+
+
+def test_held_out_texts_are_not_counted(spark, tmp_path):
+    texts = [f"only{i} common words here" for i in range(60)] + [None, ""]
+    out = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    got = {r["doc_id"]: r for r in queries.op7_language(spark, _written(spark, tmp_path, texts)).collect()}
+    assert [got[i]["held_out"] for i in range(len(texts))] == out and any(out)
+    tokens = [[*(t or "").split(), None] for t in texts]
+    assert {r["train_tokens"] for r in got.values()} == {sum(len(t) for t, o in zip(tokens, out) if not o)}
+    for i, t in enumerate(tokens):
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(t), len(t) - (out[i] and i < 60))
