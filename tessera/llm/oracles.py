@@ -51,4 +51,17 @@ SELECT doc_id, size, source_size, target, (taken1 + taken2)::BIGINT AS taken,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op1_quality": OP1, "op5_mixing": OP5}
+OP9 = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS doc,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT r, doc_id, doc, unnest(range(0, len(words) - 49)) AS i, words FROM w WHERE len(words) >= 50),
+g AS (SELECT doc_id, doc, i, md5_number(array_to_string(words[i + 1:i + 50], ' ')) AS g FROM p),
+s AS (SELECT g FROM g GROUP BY g HAVING min(doc) <> max(doc)),
+h AS (SELECT DISTINCT doc_id, doc, i FROM g SEMI JOIN s USING (g)),
+m AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM h),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM m)
+SELECT any_value(doc_id) AS doc_id, min(i)::BIGINT AS start_word, (max(i) + 50)::BIGINT AS end_word,
+       (max(i) + 50 - min(i))::BIGINT AS n_words FROM k GROUP BY doc, span
+"""
+
+ORACLES: dict[str, str] = {"op1_quality": OP1, "op5_mixing": OP5, "op9_passages": OP9}

@@ -51,6 +51,12 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of ours that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     shared_uri(df.sparkSession)
