@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, neardup, packing, quality, secrets
-from tessera.llm.shared import shared_uri, table
+from tessera.llm.shared import remove, shared_uri, table
 from tessera.llm.vocabularies import vocabulary
 
 
@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is masked in its text; all documents stay."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, words=vocabulary("byte_bpe_50k.json"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again as the next one's input."""
+    """All stages, each written to the shared folder and read again as the next one's input; what a stage was
+    made from is deleted once it is written whole. The last one's input stays, as its rows are read later."""
     import uuid
 
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
