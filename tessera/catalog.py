@@ -272,8 +272,10 @@ def _oracles() -> dict[str, str]:
     tree = {p: t for p, t in TREE.items() if p.endswith((".md", ".txt")) and not p.startswith(".")}
     tree_sql = ", ".join(f"('{p}', '{t}')" for p, t in tree.items())
     files = f"f(uri, text) AS (VALUES {tree_sql}), l AS (SELECT uri, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), lambda x: x <> '') AS lines FROM f)"
+    other = "(SELECT 'other' AS uri, 'A collector of stamps' AS text)"
     return {
         "crawl_directory": f"WITH {files} SELECT row_number() OVER (ORDER BY string_split(uri, '/')) - 1 AS doc_id, uri, coalesce(left(lines[1], 80), regexp_replace(regexp_extract(uri, '[^/]*$'), '\\.[^.]*$', '')) AS title FROM l",
+        "generation_swap": f"WITH {files} SELECT 1 AS generation, coalesce(left(lines[1], 80), uri) AS title, score FROM ({O.top([('', _term('collector'))], source=f'(SELECT uri, text FROM (VALUES {tree_sql}) AS v(uri, text))', key='uri')}) h JOIN l ON l.uri = h.doc_id UNION ALL SELECT 2, 'Other', score FROM ({O.top([('', _term('collector'))], source=other, key='uri')})",
         "pruned_equals_exhaustive": f"SELECT doc_id, score AS pruned, score AS exhaustive FROM ({O.top(_THREE)})",
         "bm25_should_topk": O.top(_THREE), "bm25_single_term": O.top([("", _term("anea"))]),
         "bm25_must_intersection": O.top([("+", _term("anea")), ("+", _term("eriner"))]),
