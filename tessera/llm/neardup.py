@@ -47,6 +47,7 @@ BUFFER = 1 << 16
 FAR = 34
 SURE = 8
 FILTER_BITS = 22
+PLANTED = "node long, key long, rest long, d0 long, d1 long"
 
 
 def agreement(similarity: float) -> float:
@@ -101,8 +102,10 @@ def orders(tries: int, seed: int = 11) -> np.ndarray:
 
 
 def _plant(tries: int, prefix: int):
-    """A row a text and trie: trie, the node it is sent to, and 64 bits in the trie's order."""
+    """A row a text and trie: the node it is sent to, 64 bits in the trie's order, the other 64 bits of the SimHash
+    (distances are those of all 128, in any order) and the digest as two longs: 48 bytes."""
     perm = orders(tries)
+    others = np.stack([np.setdiff1d(np.arange(BITS), p) for p in perm])
 
     def run(batches):
         for batch in batches:
@@ -110,12 +113,15 @@ def _plant(tries: int, prefix: int):
                 part = batch.slice(lo, 2048)
                 words = np.stack([part.column(k).to_numpy() for k in (1, 2)], axis=1)
                 bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                digest = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64).reshape(-1, 2)
+                more = part.columns[3:]
                 for t in range(tries):
+                    rest = np.ascontiguousarray(np.packbits(bits[:, others[t]], axis=1)).view(np.int64).ravel()
                     key = np.ascontiguousarray(np.packbits(bits[:, perm[t]], axis=1)).view(">u8").astype(np.uint64).ravel()
                     node = (key >> np.uint64(64 - prefix)).astype(np.int64) * tries + t
                     # signed, so that Spark sorts as unsigned would
-                    cols = [pa.array(node), pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), *part.columns]
-                    yield pa.RecordBatch.from_arrays(cols, ["node", "key", *part.schema.names])
+                    cols = [pa.array(node), pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), pa.array(rest), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *more]
+                    yield pa.RecordBatch.from_arrays(cols, ["node", "key", "rest", "d0", "d1", *part.schema.names[3:]])
 
     return run
 
@@ -240,7 +246,16 @@ def _sorted_keys(t) -> tuple[np.ndarray, np.ndarray]:
     """Leading bits in common between neighbours (none between nodes), and the SimHashes."""
     common = _common(t["key"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
     common[np.diff(t["node"].to_numpy()) != 0] = 0
-    return common, np.stack([t["s0"].to_numpy(), t["s1"].to_numpy()], axis=1).view(np.uint64)
+    return common, np.stack([t["key"].to_numpy(), t["rest"].to_numpy()], axis=1).view(np.uint64)
+
+
+def _digests(t) -> np.ndarray:
+    return np.stack([t["d0"].to_numpy(), t["d1"].to_numpy()], axis=1)
+
+
+def _binary(digests: np.ndarray) -> pa.Array:
+    ends = pa.py_buffer(np.arange(0, 16 * len(digests) + 1, 16, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(digests), [None, ends, pa.py_buffer(np.ascontiguousarray(digests))])
 
 
 def _climb(prefix: int, depth: int, buffer: int = BUFFER):
@@ -272,8 +287,8 @@ def _climb(prefix: int, depth: int, buffer: int = BUFFER):
         alone = np.nonzero((np.repeat(sizes, sizes) > BLOCK) | (t["node"].to_numpy() == parted if parted is not None else False))[0]
         a, b = np.concatenate([a, alone]), np.concatenate([b, alone])
         sure = (np.bitwise_count(s[a] ^ s[b]).sum(axis=1) <= SURE) & (a != b)
-        digest = t["digest"].chunk(0)
-        return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b)), pa.array(sure)], ["a", "b", "sure"])
+        digest = _digests(t)
+        return pa.RecordBatch.from_arrays([_binary(digest[a]), _binary(digest[b]), pa.array(sure)], ["a", "b", "sure"])
 
     return run
 
@@ -303,7 +318,7 @@ def _across(prefix: int, depth: int):
     def emit(t):
         t = t.combine_chunks()
         common, s = _sorted_keys(t)
-        digest, label = t["digest"].chunk(0), t["label"].chunk(0).dictionary_encode().indices.to_numpy()
+        digest, label = _digests(t), t["label"].chunk(0).dictionary_encode().indices.to_numpy()
         found, size = [], 0
         for piece in near_across(s, runs(common, prefix, depth, depth), label):
             found.append(piece)
@@ -315,8 +330,8 @@ def _across(prefix: int, depth: int):
             yield taken(digest, found)
 
     def taken(digest, found):
-        a, b = (pa.array(np.concatenate(x)) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([digest.take(a), digest.take(b)], ["a", "b"])
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([_binary(digest[a]), _binary(digest[b])], ["a", "b"])
 
     return run
 
@@ -392,15 +407,15 @@ def _named(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
     sketches = cut(sketched.groupBy("digest").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")))
     depth, tries = forest_shape(sketches.count(), similarity, recall)
     prefix = depth - 4
-    planted = sketches.mapInArrow(releasing(_plant(tries, prefix)), "node long, key long, digest binary, s0 long, s1 long")
-    near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(releasing(_climb(prefix, depth)), "a binary, b binary, sure boolean")
+    planted = sketches.mapInArrow(releasing(_plant(tries, prefix)), PLANTED)
+    near = planted.repartition("node").sortWithinPartitions("node", "key", "d0", "d1").mapInArrow(releasing(_climb(prefix, depth)), "a binary, b binary, sure boolean")
     pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct())
     links = cut(verified_pairs(texts, pairs.where(F.col("a") != F.col("b")).select("a", "b"), similarity))
     of = components(links).select(F.col("node").alias("digest"), "root")
     again = cut(_unsettled(sketches, pairs, links, of))
     if again.limit(1).count():
-        planted = again.mapInArrow(releasing(_plant(tries, prefix)), "node long, key long, digest binary, s0 long, s1 long, label binary")
-        near = planted.repartition("node").sortWithinPartitions("node", "key", "digest").mapInArrow(releasing(_across(prefix, depth)), "a binary, b binary")
+        planted = again.mapInArrow(releasing(_plant(tries, prefix)), f"{PLANTED}, label binary")
+        near = planted.repartition("node").sortWithinPartitions("node", "key", "d0", "d1").mapInArrow(releasing(_across(prefix, depth)), "a binary, b binary")
         more = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         links = links.unionByName(verified_pairs(texts, more, similarity))
         of = components(links).select(F.col("node").alias("digest"), "root")
