@@ -44,6 +44,10 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
+    def modified(self, path: str) -> float:
+        """Seconds since 1970."""
+        return self.fs.getFileStatus(self.path(path)).getModificationTime() / 1000
+
     def empty(self, root: str) -> list[str]:
         """Paths, without the scheme, of the files of no bytes below ``root``."""
         found, listing = [], self.fs.listFiles(self.path(root), True)

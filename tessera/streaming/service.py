@@ -8,6 +8,7 @@ flight; generations that nobody holds, and that are not current, can be collecte
 from __future__ import annotations
 
 import threading
+import time
 import weakref
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -86,13 +87,18 @@ class SearchService:
         like = self._current.engine if self._current else Engine(self.spark)
         return self._adopt(number, like).number
 
-    def collect(self) -> list[int]:
-        """Deletes generations that are neither current nor held here; their numbers."""
+    def collect(self, grace: float = 0.0) -> list[int]:
+        """Deletes generations that are neither published last, nor held here, nor followed by another only since
+        ``grace`` seconds; their numbers. What readers in other processes hold isn't known here: ``grace`` is the
+        time after which they must have reloaded."""
+        numbers = sorted(int(n[2:]) for n in self._files.children(self.root) if n.startswith("v=") and self._files.exists(f"{self.root}/{n}/meta.json"))
+        last = int(self._files.read(f"{self.root}/CURRENT")) if self._files.exists(f"{self.root}/CURRENT") else 0
         gone = []
-        for name in self._files.children(self.root):
-            if name.startswith("v=") and int(name[2:]) not in self._held and int(name[2:]) != self.generation():
-                self._files.delete(f"{self.root}/{name}")
-                gone.append(int(name[2:]))
+        for number, after in zip(numbers, numbers[1:]):
+            replaced = self._files.modified(f"{self.root}/v={after}/meta.json")
+            if number not in self._held and number not in (last, self.generation()) and time.time() - replaced >= grace:
+                self._files.delete(f"{self.root}/v={number}")
+                gone.append(number)
         return gone
 
     def watch(self, tree: str, every: int = 10, checkpoint: str | None = None, globs: Iterable[str] = ("*",)):

@@ -71,6 +71,7 @@ def test_generations(spark, tree, tmp_path):
     assert (found.count(), number) == (1, 2)
     assert service.collect() == []
     del held
+    assert service.collect(grace=3600) == []  # another process may still read it
     assert service.collect() == [1]
     with pytest.raises(Exception):  # noqa: B017
         service.reindex(str(tmp_path / "missing"))
