@@ -16,6 +16,7 @@ from tessera.functions import analysis
 from tessera.functions.analysis import Analyzer
 from tessera.functions.ranking import Bm25
 from tessera.operators.index import Index, build
+from tessera.operators.seek import seek
 from tessera.plans.planner import Searcher, phrase_by_join
 from tessera.sources import crawl, store
 from tessera.sources.files import Files, shared_folder
@@ -171,6 +172,14 @@ def batch_topk(spark, sf_dir):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
+def seek_postings(spark, sf_dir):
+    """From every document id, where the three terms' lists go on."""
+    index = index_of(spark, sf_dir)
+    terms = F.explode(F.array(*[F.lit(index.analyzer.term(w)) for w in FLAGSHIP.split()]))
+    moves = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("target"), terms.alias("term"))
+    return _wide(seek(index, moves))
+
+
 def search_stats_row(spark, sf_dir):
     return Searcher(index_of(spark, sf_dir)).stats(FLAGSHIP)
 
@@ -242,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_raw, normalize_words, stem_vocabulary, stopword_filter_counts, postings_build, term_doc_freq, doc_lengths, collection_stats, term_bounds, block_metadata, posting_gaps,
-        postings_bytes, upper_bounds_dominate, title_from_first_line, phrase_two_terms, phrase_two_terms_by_join, phrase_with_stopword_gap, shard_merge, append_and_reseal, batch_topk,
+        postings_bytes, upper_bounds_dominate, title_from_first_line, phrase_two_terms, phrase_two_terms_by_join, phrase_with_stopword_gap, shard_merge, append_and_reseal, batch_topk, seek_postings,
         search_stats_row, search_stats_required, snippet_topk, pruned_equals_exhaustive, results_json, crawl_directory, generation_swap, pages_search,
     )
 }
@@ -304,6 +313,7 @@ def _oracles() -> dict[str, str]:
         "shard_merge": f"WITH {index} SELECT doc_id, length FROM len",
         "append_and_reseal": O.top(_THREE),
         "batch_topk": f"WITH {index}, {O.TERMS}, {batch_terms}, s AS (SELECT item_id AS query_id, doc_id, round(sum({value}), 6) AS score FROM q2 JOIN post USING (term) JOIN terms USING (term), coll GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 5",
+        "seek_postings": f"{num}, m AS (SELECT DISTINCT doc_id AS target, unnest([{', '.join(repr(_term(w)[0][0]) for w in FLAGSHIP.split())}]) AS term FROM documents) SELECT term, target, min_by(block_no, num.doc_id) AS block_no, min(num.doc_id) AS doc_id, min_by(tf, num.doc_id) AS tf, count(*) AS remaining FROM m JOIN num USING (term) WHERE num.doc_id >= target GROUP BY 1, 2",
         "search_stats_row": f"WITH {O.scores(_THREE)} SELECT 'wand' AS strategy, (SELECT count(*) FROM c0) + (SELECT count(*) FROM c1) + (SELECT count(*) FROM c2) AS candidates, (SELECT count(*) FROM hits) AS scored",
         "search_stats_required": f"WITH {O.scores([('+', _term('anea')), ('+', _term('eriner'))])} SELECT 'exhaustive' AS strategy, (SELECT count(*) FROM hits) AS candidates, (SELECT count(*) FROM hits) AS scored",
         "pages_search": O.top(_THREE, source="(SELECT page_id, html AS text FROM pages)", key="page_id"),

@@ -6,6 +6,7 @@ import pytest
 from tessera.functions.analysis import Analyzer
 from tessera.functions.ranking import Bm25
 from tessera.operators.index import build
+from tessera.operators.seek import seek, step
 from tessera.plans.planner import Searcher, phrase_by_join
 from tessera.plans.query import Occur, QueryError, parse
 from tessera.sources import store
@@ -183,3 +184,21 @@ def test_saved_statistics(saved):
     assert saved.sizes is not None
     fresh = build(saved.documents.select("doc_id", "text"), saved.analyzer)
     assert tuple(saved.stats().first()) == tuple(fresh.stats().first())
+
+
+def test_moves_along_postings(spark, saved):
+    """Every move ends where a walk along the list would, from any id on; those past the end have no row."""
+    lists = {}
+    for r in saved.postings.collect():
+        lists.setdefault(r["term"], []).append((r["doc_id"], r["tf"]))
+    moves = [(t, d) for t in (*lists, "nothing") for d in (-1, 0, 1, 7, 128, 129, 10**6)] + [(None, 1), ("ant", None)]
+    got = {(r["term"], r["target"]): (r["doc_id"], r["tf"], r["remaining"]) for r in seek(saved, spark.createDataFrame(moves, "term string, target long")).collect()}
+    want = {}
+    for t, posts in lists.items():
+        for d in (-1, 0, 1, 7, 128, 129, 10**6):
+            if ahead := sorted(p for p in posts if p[0] >= d):
+                want[t, d] = (*ahead[0], len(ahead))
+    assert got == want
+    first = sorted(lists["ant"])
+    after = step(saved, spark.createDataFrame([("ant", first[0][0]), ("ant", first[-1][0])], "term string, doc_id long")).collect()
+    assert [r["doc_id"] for r in after] == [first[1][0]]
