@@ -8,6 +8,7 @@ what is left loses at most two suffixes. Positions count every raw word, offsets
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+#: The same where all characters are below U+0300, faster.
+_NEAR, _FAR = re.compile(r"[^\W_]+"), re.compile("[\u0300-\U0010ffff]")
 #: The same for Spark's regular expressions.
 WORD_PATTERN = r"[\p{IsAlphabetic}\p{N}]+"
 
@@ -68,6 +71,11 @@ def stem(word: str) -> str:
     return strip_suffix(strip_suffix(word))
 
 
+def split(text: str) -> list[str]:
+    """The raw words of a text."""
+    return (WORD if _FAR.search(text) else _NEAR).findall(text)
+
+
 @dataclass(frozen=True)
 class Token:
     term: str
@@ -103,7 +111,7 @@ class Analyzer:
         return stem(w) if self.stemming else w
 
     def analyze(self, text: str) -> list[Token]:
-        term = _remembered(self)
+        term = remembered(self)
         out, at, seen = [], 0, 0
         plain = text.isascii()
         for position, m in enumerate(WORD.finditer(text)):
@@ -121,8 +129,8 @@ class Analyzer:
 
     def positions(self, text: str) -> dict[str, list[int]]:
         """Ascending positions by term."""
-        term, out = _remembered(self), {}
-        for position, word in enumerate(WORD.findall(text)):
+        term, out = remembered(self), {}
+        for position, word in enumerate(split(text)):
             t = term(word)
             if t is not None:
                 out.setdefault(t, []).append(position)
@@ -138,7 +146,7 @@ class Analyzer:
 
 
 @lru_cache(maxsize=8)
-def _remembered(analyzer: Analyzer):
+def remembered(analyzer: Analyzer):
     """``analyzer.term`` with a bounded memory, one a process."""
     return lru_cache(maxsize=1 << 19)(analyzer.term)
 

@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import codec
-from tessera.functions.analysis import Analyzer
+from tessera.functions.analysis import Analyzer, remembered, split
 from tessera.functions.ranking import Bm25
 
 BLOCK_SIZE = 128
@@ -29,21 +31,37 @@ POSTINGS = "term string, doc_id long, positions array<int>, tf int, length int"
 
 
 def _postings(analyzer: Analyzer):
+    """Postings of batches of (doc_id, text): words are coded once a slice, and only distinct ones analysed."""
+
     def run(batches):
+        term = remembered(analyzer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                terms, ids, positions, tfs, lengths = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = analyzer.positions(text or "")
-                    length = sum(map(len, found.values()))
-                    terms += found
-                    positions += found.values()
-                    tfs += map(len, found.values())
-                    ids += [doc] * len(found)
-                    lengths += [length] * len(found)
-                cols = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(positions, pa.list_(pa.int32())), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["term", "doc_id", "positions", "tf", "length"])
+                found = [split(text) if text else [] for text in part.column(1).to_pylist()]
+                yield coded(part.column(0), list(chain.from_iterable(found)), np.array([len(w) for w in found], np.int64), term)
+
+    def coded(ids: pa.Array, words: list[str], sizes: np.ndarray, term) -> pa.RecordBatch:
+        words = pa.array(words, pa.string()).dictionary_encode()
+        codes: dict[str, int] = {}
+        code_of = np.array([-1 if (t := term(w)) is None else codes.setdefault(t, len(codes)) for w in words.dictionary.to_pylist()], np.int64)
+        code = code_of[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        position = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = np.flatnonzero(code >= 0)
+        length = np.bincount(doc[kept], minlength=len(sizes))
+        key = doc[kept] * len(codes) + code[kept]
+        order = np.argsort(key, kind="stable")
+        key, kept = key[order], kept[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(first, len(key))
+        at = kept[first]
+        cols = [
+            pa.array(list(codes), pa.string()).take(pa.array(code[at])), ids.take(pa.array(doc[at])),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[kept].astype(np.int32))),
+            pa.array(np.diff(ends).astype(np.int32)), pa.array(length[doc[at]].astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["term", "doc_id", "positions", "tf", "length"])
 
     return run
 
