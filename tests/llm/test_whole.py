@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup, queries, secrets, toxicity, wavelet
+from tessera.llm import neardup, queries, secrets, textbytes, toxicity, wavelet
 
 
 def shingled(text):
@@ -20,6 +20,22 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+# -- 4, 7, 9 ---------------------------------------------------------------------
+def test_words_hash_alike_in_parts_and_whole():
+    """Of any length and wherever they stand; a word of megabytes takes memory for a part of it."""
+    long = "xyz" * 50_000
+    data, at = textbytes.spaced(pa.array([f"a {long} é", None, "", f"{long}\n{long}q a"]))
+    h = textbytes.hashes(data, *textbytes.words(data, at)[:2])
+    assert h[0] == h[5] and h[1] == h[3] and len({*h.tolist()}) == 4
+
+    def plain(word):
+        body = word.encode()
+        return sum((b + 1) * pow(textbytes._P & textbytes.MASK, i, 1 << 64) for i, b in enumerate(body)) + len(body) & textbytes.MASK
+
+    assert h.tolist() == textbytes.mix(np.array([plain(w) for w in ["a", long, "é", long, long + "q", "a"]], np.uint64)).tolist()
+    assert len(textbytes._POWERS) <= 1 << 14
+
+
 # -- 4 ---------------------------------------------------------------------------
 def test_broken_trees_are_tried_again(spark):
     """SimHashes of 0 to 1 and 1 to 2 nearly agree, below 0.8; 0 and 2 are copies and farther apart."""
