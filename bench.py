@@ -25,6 +25,7 @@ def main() -> None:
     spent = {}
 
     def timed(name, run):
+        nonlocal spent
         began = time.time()
         run()
         spent[name] = round(time.time() - began, 3)
@@ -34,7 +35,12 @@ def main() -> None:
     for name in NAMES:
         timed(name, lambda name=name: catalog.QUERIES[name](spark, SF).write.mode("overwrite").format("noop").save())
     n = catalog.index_of(spark, SF).collection()[0]
-    out = {"metric": "total_seconds", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent, "sf": SF, "docs_per_second_indexed": round(n / spent["index_build"], 1)}
+    first = dict(spent)
+    for name in NAMES:  # once more, when code is compiled
+        timed(name, lambda name=name: catalog.QUERIES[name](spark, SF).write.mode("overwrite").format("noop").save())
+    again, spent = {k: spent[k] for k in NAMES}, first
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").count()
+    out = {"metric": "total_seconds", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent, "sf": SF, "docs_per_second_indexed": round(n / spent["index_build"], 1), "again": again, "batched_queries_per_second": round(asked / again["batch_topk"], 1)}
     print(json.dumps(out), flush=True)
     spark.stop()
 

@@ -62,7 +62,7 @@ class Engine:
 
     def index_dir(self, root: str) -> int:
         """Appends the files below ``root``; their number."""
-        docs = crawl.read_tree(self.spark, root, self.extensions).persist()
+        docs = crawl.read_tree(self.spark, root, self.extensions)  # numbered and written already
         n = docs.count()
         self.add_documents(docs)
         return n

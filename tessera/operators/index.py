@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions import codec
 from tessera.functions.analysis import Analyzer, remembered, split
 from tessera.functions.ranking import Bm25
+from tessera.sources.files import cut
 
 BLOCK_SIZE = 128
 #: Document ids a range holds when a term's postings are numbered.
@@ -205,7 +206,8 @@ def with_ids(docs: DataFrame, order: list) -> DataFrame:
     """``doc_id`` from 0 in the given order, by range partitions and their offsets."""
     spark = docs.sparkSession
     ranged = docs.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist()
+    marked = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    marked = cut(marked)
     sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
     offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Files:
@@ -61,6 +61,14 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(path))) if self.exists(path) else []
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that a lost executor can't change it."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; our own where it is unset in local mode (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
