@@ -13,7 +13,7 @@ _IN_BYTE = np.array([[*[i for i in range(8) if byte >> i & 1], *[0] * 8][:8] for
 
 def select_in_word(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
     """Place of the nth (from 0) one in each 64-bit word: its byte by running counts of all eight at once, then a table."""
-    nth = nth.astype(np.uint64)
+    nth = nth.astype(np.int64, copy=False).view(np.uint64)
     sums = word - ((word >> _1) & _55)
     sums = (sums & _33) + ((sums >> _2) & _33)
     sums = ((sums + (sums >> _4)) & _0F) * _L8
@@ -27,11 +27,12 @@ def select_in_word(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A non-decreasing sequence: ``low`` bits packed, the rest in unary in ``high``.
 
-    ``ones``: ones of ``high`` before each of its words, and in all.
+    ``ones`` and ``zeros``: those of ``high`` before each of its words, and in all; both are kept, so that
+    a search costs nothing for what it doesn't look at.
     """
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.bits, self.low, self.high, self.ones, self.zeros = n, bits, low, high, ones, zeros
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -43,7 +44,9 @@ class EliasFano:
         flags = np.zeros(-(-((top >> bits) + n + 2) // 64) * 64, np.uint8)
         flags[place] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.uint64)]).astype(np.uint32 if n < 1 << 32 else np.uint64)
+        kind = np.uint32 if len(flags) < 1 << 32 else np.uint64
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.uint64)]).astype(kind)
+        zeros = (np.arange(len(ones), dtype=np.uint64) * np.uint64(64) - ones).astype(kind)
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits:
             rest = values & np.uint64((1 << bits) - 1)
@@ -52,33 +55,34 @@ class EliasFano:
             np.bitwise_or.at(low, at // 64, rest << shift)
             over = np.nonzero(at % 64 + bits > 64)[0]
             np.bitwise_or.at(low, at[over] // 64 + 1, rest[over] >> (np.uint64(64) - shift[over]))
-        return cls(n, bits, low, high, ones)
+        return cls(n, bits, low, high, ones, zeros)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.low, self.high, self.ones]
+        return [self.low, self.high, self.ones, self.zeros]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
         at = i * self.bits
-        word, shift = at // 64, (at % 64).astype(np.uint64)
+        word, shift = at >> 6, (at & 63).view(np.uint64)
         out = self.low[word] >> shift
-        spill = shift + np.uint64(self.bits) > np.uint64(64)
-        out = np.where(spill, out | (self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63))), out)
-        return out & np.uint64((1 << self.bits) - 1)
+        # what the next word holds; shifted twice, so that nothing of it is taken where the shift is 0
+        out |= (self.low[word + 1] << _1) << (shift ^ _63)
+        out &= np.uint64((1 << self.bits) - 1)
+        return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
-        at = word * 64 + select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
-        return ((at - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
+        at = (word << 6) + select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
+        at -= i
+        return (at.view(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
     def _bucket(self, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the values with these upper parts begin and end."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
         k = np.maximum(upper - 1, 0)
-        word = np.minimum(np.searchsorted(zeros, k, "right") - 1, len(self.high) - 1)
-        at = np.where(upper > 0, word * 64 + select_in_word(~self.high[word], k - zeros[word]) + 1, 0)
+        word = np.minimum(np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1, len(self.high) - 1)
+        at = np.where(upper > 0, word * 64 + select_in_word(~self.high[word], k - self.zeros[word].astype(np.int64)) + 1, 0)
         lo = at - upper
         # the ones that follow the zero, up to the end of their word
         word = np.minimum(at >> 6, len(self.high) - 1)
@@ -110,17 +114,22 @@ class EliasFano:
         return out
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.asarray(x, np.uint64)
+        x = np.asarray(x).astype(np.uint64, copy=False)
         limit = len(self.high) * 64 - self.n - 1
         upper = (x >> np.uint64(self.bits)).astype(np.int64)
-        beyond = upper > limit
         lo, end = self._bucket(np.minimum(upper, limit))
-        lo, end = np.where(beyond, self.n, lo), np.where(beyond, self.n, end)
-        hi = end.copy()
+        if (beyond := np.flatnonzero(upper > limit)).size:
+            lo[beyond] = end[beyond] = self.n
         low = x & np.uint64((1 << self.bits) - 1)
-        while (open_ := np.nonzero(lo < hi)[0]).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            small = self.lows(mid) < low[open_]
-            lo[open_] = np.where(small, mid + 1, lo[open_])
-            hi[open_] = np.where(small, hi[open_], mid)
+        open_ = np.flatnonzero(lo < end)
+        a, b, sought = lo[open_], end[open_], low[open_]
+        while open_.size:
+            mid = (a + b) >> 1
+            small = self.lows(mid) < sought
+            a, b = np.where(small, mid + 1, a), np.where(small, b, mid)
+            more = a < b
+            done = np.flatnonzero(~more)
+            lo[open_[done]] = a[done]
+            left = np.flatnonzero(more)
+            open_, a, b, sought = open_[left], a[left], b[left], sought[left]
         return lo, end, low

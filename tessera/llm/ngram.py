@@ -23,11 +23,11 @@ own. A null id is scored with its text. Without training texts every token is un
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,8 @@ SHARD = 3_000_000
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes of text that are looked at together.
-_SLICE = 3 << 20
+#: Bytes of text that are looked at together: each look goes through every shard, of which a large corpus has many.
+_SLICE = 8 << 20
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,8 @@ def _save(path: str, *arrays: np.ndarray) -> None:
 
 
 def _load(path: str) -> list[np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+    with open(path, "rb") as f:  # mapped without an open file each, as plain arrays: memmap's own indexing is slow
+        raw = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
     n = int(raw[:8].view("<u8")[0])
     at, out = 8 + 16 * n, []
     for i in range(n):
@@ -177,10 +178,27 @@ def _load(path: str) -> list[np.ndarray]:
     return out
 
 
-class Vocabulary:
+class _Shards:
+    """Shards that are mapped when first asked for and let go with their owner: a task unpickles its own."""
+
+    def __init__(self):
+        self.mapped = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"mapped": {}}
+
+    def _mapped(self, folder: str, name: str, shard: int, of):
+        if (key := (name, shard)) not in self.mapped:
+            path = os.path.join(folder, f"{name}-{shard:08d}")
+            self.mapped[key] = of(_load(path)) if os.path.exists(path) else None
+        return self.mapped[key]
+
+
+class Vocabulary(_Shards):
     """The first level. ``bits``: a shard is the upper bits of the hash; ``width``: bits of an id."""
 
     def __init__(self, folder: str, bits: int, sizes: np.ndarray, masses: np.ndarray, shards: int, discount: float):
+        super().__init__()
         self.folder, self.bits, self.shards = folder, bits, shards
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.mass = np.concatenate([[0], np.cumsum(masses)]).astype(np.int64)
@@ -192,15 +210,15 @@ class Vocabulary:
         w, run = EliasFano.of(words - np.uint64(base)), EliasFano.of(np.concatenate([[0], np.cumsum(counts)]))
         return [np.array([w.n, w.bits, run.n, run.bits], np.int64), *w.arrays(), *run.arrays()]
 
-    @lru_cache(maxsize=None)  # noqa: B019
+    @staticmethod
+    def _sequences(arrays: list[np.ndarray]) -> tuple[EliasFano, EliasFano]:
+        head, *rest = arrays
+        n, bits, run_n, run_bits = (int(x) for x in head)
+        return EliasFano(n, bits, *rest[:4]), EliasFano(run_n, run_bits, *rest[4:])
+
     def shard(self, i: int) -> tuple[EliasFano, EliasFano] | None:
         """Hashes, less the shard's first, and running counts."""
-        path = os.path.join(self.folder, f"words-{i:08d}")
-        if not os.path.exists(path):
-            return None
-        head, *rest = _load(path)
-        n, bits, run_n, run_bits = (int(x) for x in head)
-        return EliasFano(n, bits, *rest[:3]), EliasFano(run_n, run_bits, *rest[3:])
+        return self._mapped(self.folder, "words", i, self._sequences)
 
     def base(self, i: int) -> int:
         return i << (64 - self.bits) if self.bits else 0
@@ -250,8 +268,18 @@ def _spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge, edge[1:])]
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values in order, a place of each, and which of them stands at each place."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], order[new], back
+
+
 def _tokens(vocabulary: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unique, back = np.unique(h, return_inverse=True)
+    unique, _, back = _distinct(h)
     return tuple(x[back] for x in vocabulary.look(unique))
 
 
@@ -300,9 +328,9 @@ class Successors:
     def __init__(self, arrays: list[np.ndarray]):
         head, *rest = arrays
         self.first, ptr_n, ptr_bits, succ_n, succ_bits = (int(x) for x in head)
-        self.pointers = EliasFano(ptr_n, ptr_bits, *rest[:3])
-        self.ids = EliasFano(succ_n, succ_bits, *rest[3:6])
-        self.values = list(zip(rest[6::2], rest[7::2]))
+        self.pointers = EliasFano(ptr_n, ptr_bits, *rest[:4])
+        self.ids = EliasFano(succ_n, succ_bits, *rest[4:8])
+        self.values = list(zip(rest[8::2], rest[9::2]))
 
     @staticmethod
     def arrays(heads: np.ndarray, tails: np.ndarray, *logs: np.ndarray) -> list[np.ndarray]:
@@ -323,7 +351,8 @@ class Successors:
     def look(self, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
         """Places of sorted (context, successor) pairs; -1 where one was not seen."""
         out = np.full(len(heads), -1)
-        unique, back = np.unique(heads - self.first, return_inverse=True)
+        new = np.diff(heads, prepend=-1) != 0
+        unique, back = heads[new] - self.first, np.cumsum(new) - 1
         inside = (unique >= 0) & (unique < self.pointers.n - 1)
         c = np.where(inside, unique, 0)
         lo, hi = self.pointers.access(c).astype(np.int64), self.pointers.access(c + 1).astype(np.int64)
@@ -366,14 +395,13 @@ def _write_triples(vocabulary: Vocabulary, folder: str, nu: float):
     return run
 
 
-class Model:
+class Model(_Shards):
     def __init__(self, vocabulary: Vocabulary, folder: str, mu: float):
+        super().__init__()
         self.vocabulary, self.folder, self.mu = vocabulary, folder, mu
 
-    @lru_cache(maxsize=None)  # noqa: B019
     def level(self, name: str, shard: int) -> Successors | None:
-        path = os.path.join(self.folder, f"{name}-{shard:08d}")
-        return Successors(_load(path)) if os.path.exists(path) else None
+        return self._mapped(self.folder, name, shard, Successors)
 
     def pairs(self, ids: np.ndarray, count: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each token after its predecessor: shard, place there (-1: not seen), log10 of its probability and of
@@ -383,8 +411,8 @@ class Model:
         both = np.nonzero((ids >= 0) & (head >= 0))[0]
         if not len(both):
             return shard, place, log, weight
-        _, first, back = np.unique(head[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64), return_index=True, return_inverse=True)
-        at = both[first]
+        _, some, back = _distinct(head[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64))
+        at = both[some]
         found = self.vocabulary.place(mass[at], context[at], ids[at])
         places, logs, weights = np.full(len(at), -1), np.zeros(len(at)), np.zeros(len(at))
         for a, b in _spans(found):

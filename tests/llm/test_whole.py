@@ -1,13 +1,18 @@
 """Cases in which an operator once did less than its whole job."""
 
+import gc
+import pickle
 import random
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup, queries, secrets, textbytes, toxicity, wavelet
+from tessera.llm import neardup, ngram, queries, secrets, textbytes, toxicity, wavelet
+from tessera.llm.eliasfano import EliasFano
 
 
 def shingled(text):
@@ -180,3 +185,30 @@ def test_held_out_texts_are_not_counted(spark, tmp_path):
     assert {r["train_tokens"] for r in got.values()} == {sum(len(t) for t, o in zip(tokens, out) if not o)}
     for i, t in enumerate(tokens):
         assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(t), len(t) - (out[i] and i < 60))
+
+
+# -- 7 ---------------------------------------------------------------------------
+def test_a_search_costs_nothing_for_what_it_does_not_look_at():
+    x = np.arange(0, 3 << 21, 3)
+    e = EliasFano.of(x)
+    asked = np.array([0, 7, 3000, 3 << 20])
+    tracemalloc.start()
+    try:
+        assert (e.find(asked) == np.searchsorted(x, asked)).all() and (e.find_equal(asked) == [0, -1, 1000, 1 << 20]).all()
+        assert tracemalloc.get_traced_memory()[1] < 50_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_shards_are_let_go_with_their_model(spark):
+    docs = spark.createDataFrame([(i, f"a few words {i} of text") for i in range(40)], "doc_id long, text string")
+    model = ngram.fit(docs, F.lit(True))
+    copy = pickle.loads(pickle.dumps(model))
+    for m in (copy, model):
+        assert m.score(*ngram.token_hashes(pa.array(["a few words", None])))[1].tolist() == [4, 1]
+    assert len(pickle.dumps(model)) < 10_000
+    gone = weakref.ref(copy), weakref.ref(copy.vocabulary)
+    m = None
+    del copy
+    gc.collect()
+    assert [r() for r in gone] == [None, None]
