@@ -85,7 +85,7 @@ def due(share: Column, place: Column, schedules: tuple = SCHEDULES) -> Column:
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules: tuple = SCHEDULES, whole: bool = False) -> DataFrame:
     """One row a document: key, source, size, source_size, target, ``taken`` (words, over all passes)
     and ``passes``: an array of (pass, taken, position) with the training position of each; ``whole``
-    adds the row itself as ``_row``.
+    adds the row itself as ``_row`` and the words of its source before it as ``_begins``.
 
     Passes over a source follow one another: document k of a source is due again one source size
     later. What exceeds the target is not taken; the document across it is taken in part.
@@ -112,23 +112,43 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         runs.append(F.struct(F.lit(n).alias("pass"), part.alias("taken"), due(at / F.col("target"), F.col("place"), schedules).alias("position")))
     df = df.withColumn("passes", F.filter(F.array(*runs), lambda r: r["taken"] > 0))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, r: acc + r["taken"])
-    return df.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), "passes", *(["_row"] if whole else []))
+    return df.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), "passes", *(["_row", start.alias("_begins")] if whole else []))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as taken, their texts cut where taken in part, range-sorted
-    by training position. A column ``n_chars``, if there is one, follows the text.
-
-    Rows of size 0 carry no words and are not part of a mix.
+def draws(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """A row each time that a document is due, range-sorted by training position: what ``plan`` says of it, its
+    row as ``_row``, ``_at`` (the position), ``_body`` (the text, cut where it is taken in part) and ``_part``
+    (whether it is). Documents that are never due come last, once, without ``_at`` and ``_body``.
     """
     planned = plan(docs, key, text, source, whole=True, **options)
-    taken = planned.select("_row", "size", F.explode("passes").alias("_p"))
+    due_ = planned.select(F.col(key).alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target", "_begins", "_row", F.explode_outer("passes").alias("_p"))
     body = F.col("_row").getField(text)
     pieces = F.regexp_extract_all(body, F.lit(rf"[{SPACE}]*{WORD}[{SPACE}]*"), 0)
     part = F.col("_p.taken") < F.col("size")
     cut = F.when(part, F.array_join(F.slice(pieces, 1, F.col("_p.taken").cast("int")), "")).otherwise(body)
-    placed = taken.select("_row", part.alias("_part"), cut.alias("_body"), F.col("_p.position").alias("_at"), F.col("_row").getField(key).alias("_id"))
-    placed = placed.repartitionByRange("_at", "_id").sortWithinPartitions("_at", "_id")
+    placed = due_.select("_id", "_source", "size", "source_size", "target", "_begins", "_row", part.alias("_part"), F.when(F.col("_p").isNotNull(), cut).alias("_body"), F.col("_p.position").alias("_at"))
+    order = [F.col("_at").asc_nulls_last(), F.col("_id")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def taken_words(drawn: DataFrame) -> DataFrame:
+    """A row a document, counted from the texts of ``draws`` themselves: ``_id``, size, source_size, target, taken,
+    n_passes and ``position`` (of its first pass)."""
+    # words of its source before it tell a document that is due from all others
+    every = drawn.groupBy("_id", "_source", "_begins", "size", "source_size", "target").agg(
+        F.coalesce(F.sum(word_count(F.col("_body"))), F.lit(0)).cast("long").alias("taken"), F.count("_at").cast("int").alias("n_passes"), F.array_min(F.collect_list("_at")).alias("position"), F.count("*").alias("_n"))
+    # rows of size 0 may be repeated
+    rows = every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("n_passes") > 0, 1).otherwise(F.col("_n").cast("int")))))
+    return rows.select("_id", "size", "source_size", "target", "taken", "n_passes", "position")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as taken, their texts cut where taken in part, range-sorted
+    by training position. A column ``n_chars``, if there is one, follows the text.
+
+    Rows of size 0 carry no words and are not part of a mix.
+    """
+    placed = draws(docs, key, text, source, **options).where(F.col("_at").isNotNull())
     own = {c: F.col("_row").getField(c) for c in docs.columns} | {text: F.col("_body")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("_part"), F.length("_body").cast("long")).otherwise(own["n_chars"])

@@ -19,8 +19,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.plan(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("passes").alias("n_passes"), F.round(F.get(F.col("passes.position"), F.lit(0)), 9).alias("position"))
+    """From the mix itself: the texts as they are due, in order of training position, and the words in them."""
+    mixed = mixing.taken_words(mixing.draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return mixed.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "n_passes", F.round("position", 9).alias("position"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import gc
 import pickle
 import random
+import re
 import tracemalloc
 import weakref
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup, ngram, queries, secrets, textbytes, toxicity, wavelet
+from tessera.llm import mixing, neardup, ngram, queries, secrets, textbytes, toxicity, wavelet
 from tessera.llm.eliasfano import EliasFano
 
 
@@ -187,6 +188,23 @@ def test_held_out_texts_are_not_counted(spark, tmp_path):
         assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(t), len(t) - (out[i] and i < 60))
 
 
+# -- 5 ---------------------------------------------------------------------------
+def test_the_mixing_query_counts_the_mix_itself(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    sf = f"file://{tmp_path}"
+    got = [tuple(r) for r in queries.op5_mixing(spark, sf).collect()]
+    planned = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], len(r["passes"]), round(r["passes"][0]["position"], 9) if r["passes"] else None) for r in mixing.plan(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, planned)) and len(got) == docs.count()
+    mixed = [r["text"] for r in mixing.mix(docs).collect()]
+    assert sum(r[4] for r in got) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in mixed) and sum(r[5] for r in got) == len(mixed)
+    at = [r["_at"] for r in mixing.draws(docs).collect() if r["_at"] is not None]
+    assert at == sorted(at)
+    # a mix that loses its texts shows in the query's rows
+    whole = mixing.draws
+    monkeypatch.setattr(mixing, "draws", lambda *a, **k: whole(*a, **k).withColumn("_body", F.lit("")))
+    assert {r["taken"] for r in queries.op5_mixing(spark, sf).collect()} == {0}
+
+
 # -- 7 ---------------------------------------------------------------------------
 def test_a_search_costs_nothing_for_what_it_does_not_look_at():
     x = np.arange(0, 3 << 21, 3)
