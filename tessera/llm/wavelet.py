@@ -40,8 +40,10 @@ MAGIC = b"TESSWM02"
 BLOCK = 1024
 LONGEST_CODE = 16
 STEP = 1 << 16
-#: Bytes of text a shard is meant to hold.
+#: Bytes of text a shard is meant to hold, and shards a task is to write where there are tasks enough: each task
+#: learns its chunks anew.
 SHARD_BYTES = 16 << 20
+TASK_SHARDS = 3
 _HEAD = struct.Struct("<8sQQQ")
 
 
@@ -305,7 +307,8 @@ def encode(docs: DataFrame, path: str, lead: bool = False, end: int = 1, key: st
     folder = shared_path(spark, "tokens")
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sized = chosen.select(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-int(sized) // shard_bytes))
+    shards = max(1, -(-int(sized) // shard_bytes))
+    parts = max(-(-shards // TASK_SHARDS), min(shards, spark.sparkContext.defaultParallelism))
     ranged = chosen.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = cut(ranged.mapInArrow(releasing(_write_shards(folder, path, lead, end, shard_bytes), forgetting(path, lead)), "name string, part int, nth int, tokens long"))
     order = W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)  # a row a shard

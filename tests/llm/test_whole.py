@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, neardup, ngram, queries, secrets, textbytes, toxicity, wavelet
 from tessera.llm.eliasfano import EliasFano
+from tessera.llm.tokens import ChunkTokenizer
+from tessera.llm.vocabularies import vocabulary
 
 
 def shingled(text):
@@ -188,6 +190,26 @@ def test_held_out_texts_are_not_counted(spark, tmp_path):
         assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(t), len(t) - (out[i] and i < 60))
 
 
+# -- 3, 8 ------------------------------------------------------------------------
+def test_chunks_that_come_again_are_not_learnt_again():
+    """As many as a file of documents holds; new ones in between."""
+    tok = ChunkTokenizer(vocabulary("byte_bpe_50k.json"), True)
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]}.{'qrstuvwx'[i // 64 % 8]},{'yzabcdef'[i // 512 % 8]};{'ghijklmn'[i // 4096 % 8]}!{'opqrstuv'[i // 32768 % 8]}" for i in range(a, a + 1000)) for a in range(0, 250_000, 1000)]
+    first, learnt = tok.encode(texts), []
+    learn = tok.learn
+    tok.learn = lambda c: learnt.append(c) or learn(c)
+    assert tok.encode(texts) == first and len(learnt) < 1000
+
+
+def test_a_task_writes_several_shards(spark):
+    rows = spark.createDataFrame([(i, f"some words {i} " * 40) for i in range(400)], "doc_id long, text string")
+    folder, shards = wavelet.encode(rows, vocabulary("word_bpe_49k.json"), shard_bytes=4000)
+    made = shards.collect()
+    assert len(made) >= 40 and len({r["part"] for r in made}) <= len(made) / 2
+    got = sorted(wavelet.read(folder, shards).collect())
+    assert [r["doc_id"] for r in got] == list(range(400)) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 # -- 5 ---------------------------------------------------------------------------
 def test_the_mixing_query_counts_the_mix_itself(spark, docs, tmp_path, monkeypatch):
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
