@@ -46,6 +46,8 @@ BUFFER = 1 << 16
 #: Bits by which the SimHashes of a pair at the threshold differ are 19 of 128 with a deviation of 4.
 FAR = 34
 SURE = 8
+#: Texts of a group of candidates that are verified in one place, where each one's set is sent once.
+TOGETHER = 1024
 FILTER_BITS = 22
 PLANTED = "node long, key long, rest long, d0 long, d1 long"
 
@@ -363,6 +365,28 @@ def _verify(similarity: float):
     return run
 
 
+def _verify_together(similarity: float):
+    """Of rows sorted by group, its sets first: the pairs (a, b) that reach the similarity."""
+
+    def run(batches):
+        group, sets = None, {}
+        for batch in batches:
+            found = []
+            for g, a, b, x in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if g != group:
+                    group, sets = g, {}
+                if b is None:
+                    sets[a] = np.frombuffer(x, np.uint64)
+                    continue
+                x, y = sets[a], sets[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of digests that reach the similarity.
 
@@ -376,9 +400,19 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float) -> Dat
     words = np.zeros(1 << (FILTER_BITS - 5), np.int64)
     words[got["w"].to_numpy()] = got["bits"].to_numpy()
     sets = texts.mapInArrow(releasing(_sets(words)), "digest binary, shingles binary").dropDuplicates(["digest"])
-    left = pairs.join(sets.withColumnsRenamed({"digest": "a", "shingles": "x"}), "a")
+    # pairs that hang together meet in one place; of larger groups, each pair takes its two sets along
+    of = components(pairs)
+    small = of.join(of.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= TOGETHER), "root", "left_semi")
+    grouped = cut(pairs.join(of.withColumnsRenamed({"node": "a"}), "a").join(small.select("root").distinct().withColumn("small", F.lit(True)), "root", "left"))
+    large = grouped.where(F.col("small").isNull()).select("a", "b")
+    held = sets.join(small.withColumnsRenamed({"node": "digest"}), "digest").select("root", F.col("digest").alias("a"), F.lit(None).cast("binary").alias("b"), F.col("shingles").alias("x"))
+    rows = held.unionByName(grouped.where("small").select("root", "a", "b", F.lit(None).cast("binary").alias("x")))
+    together = rows.repartition("root").sortWithinPartitions("root", F.col("b").asc_nulls_first()).mapInArrow(releasing(_verify_together(similarity)), "a binary, b binary")
+    if not large.limit(1).count():
+        return together
+    left = large.join(sets.withColumnsRenamed({"digest": "a", "shingles": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"digest": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(releasing(_verify(similarity)), "a binary, b binary")
+    return together.unionByName(both.mapInArrow(releasing(_verify(similarity)), "a binary, b binary"))
 
 
 def _unsettled(sketches: DataFrame, pairs: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:

@@ -88,6 +88,32 @@ def test_nodes_beyond_a_block_are_compared_whole():
     assert want - tried(buffer=600) == set()
 
 
+def test_a_set_is_sent_once_to_a_group_of_candidates(spark, monkeypatch):
+    """And no link is lost, whether a group is verified in one place or pair by pair."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+        for k in range(12):
+            w = list(base)
+            for j in rng.sample(range(120), k % 6):
+                w[j] = f"x{rng.randrange(9000)}"
+            texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    body = neardup._rows(rows, "doc_id", "text").select("digest", "text")
+    of = {bytes(r["digest"]): r["text"] for r in body.collect()}
+    names = sorted(of)
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if shingled(of[a]) & shingled(of[b])], "a binary, b binary")
+    want = {(a, b) for a, b in ((bytes(r[0]), bytes(r[1])) for r in pairs.collect()) if jaccard(of[a], of[b]) >= 0.8}
+    sent = []
+    run = neardup._verify
+    monkeypatch.setattr(neardup, "_verify", lambda similarity: sent.append(1) or run(similarity))
+    for together in (1024, 2):
+        monkeypatch.setattr(neardup, "TOGETHER", together)
+        assert {(bytes(r[0]), bytes(r[1])) for r in neardup.verified_pairs(body, pairs, 0.8).collect()} == want and want
+        assert len(sent) == (together == 2)
+
+
 def test_deduplicate_keeps_a_row_of_each_class(spark):
     """Unrelated texts under null ids and under one id, and copies of such a text under other ids."""
     texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(8)]
