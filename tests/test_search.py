@@ -202,3 +202,15 @@ def test_moves_along_postings(spark, saved):
     first = sorted(lists["ant"])
     after = step(saved, spark.createDataFrame([("ant", first[0][0]), ("ant", first[-1][0])], "term string, doc_id long")).collect()
     assert [r["doc_id"] for r in after] == [first[1][0]]
+
+
+def test_moves_are_merged_and_not_paired(spark, saved, monkeypatch):
+    """Moves are not joined with what lies behind their targets, and many ranges of ids, empty ones too, give what a walk gives."""
+    monkeypatch.setattr("tessera.operators.seek.RANGE", 8, raising=False)
+    ids = sorted(r["doc_id"] for r in saved.term("fox").collect())
+    targets = [*range(-20, 320), 10**6]
+    moved = seek(saved, spark.createDataFrame([("fox", t) for t in targets], "term string, target long"))
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and ">=" in line]
+    got = {r["target"]: (r["doc_id"], r["remaining"], r["block_no"]) for r in moved.collect()}
+    assert got == {t: (min(a), len(a), (len(ids) - len(a)) // 128) for t in targets if (a := [i for i in ids if i >= t])}
