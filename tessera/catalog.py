@@ -59,7 +59,7 @@ def tokenize_raw(spark, sf_dir):
 def normalize_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     distinct = docs.select(F.explode(analysis.words(F.col("text"))).alias("word")).distinct()
-    return distinct.select("word", analysis.normalize_udf()(F.array("word"))[0].alias("normal"))
+    return distinct.select("word", analysis.normalize_word_udf()("word").alias("normal"))
 
 
 def stem_vocabulary(spark, sf_dir):

@@ -14,7 +14,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,11 +168,42 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), 0)
 
 
+#: Lists of words that are normalized at a time; what they take in Python is all that a task holds there, but for its batch.
+SLICE = 256
+
+
+def normalize_arrow(words: pa.Array) -> pa.Array:
+    """``normalize`` of each word of an Arrow array; only distinct words that are not ASCII become Python's."""
+    lower, far = pc.ascii_lower(words), pc.invert(pc.string_is_ascii(words))
+    if not pc.any(far).as_py():
+        return lower
+    coded = words.filter(far).dictionary_encode()
+    done = pa.array([normalize(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    return pc.replace_with_mask(lower, far.fill_null(False), done)
+
+
+def normalize_lists(lists: pa.Array) -> pa.Array:
+    """The same for an array of lists of words, ``SLICE`` lists at a time."""
+    done = []
+    for lo in range(0, len(lists), SLICE):
+        part = lists.slice(lo, SLICE)
+        ends = np.cumsum(np.append(0, pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)))
+        done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), normalize_arrow(part.flatten())))
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
+
+
 def normalize_udf():
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        known = lru_cache(maxsize=1 << 19)(normalize)
-        return lists.map(lambda ws: [known(w) for w in ws])
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return normalize_lists(lists)
+
+    return run
+
+
+def normalize_word_udf():
+    @F.arrow_udf("string")
+    def run(words: pa.Array) -> pa.Array:
+        return normalize_arrow(words)
 
     return run
 

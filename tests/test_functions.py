@@ -1,5 +1,7 @@
 import math
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -90,3 +92,22 @@ def test_snippets():
     assert collapse("  a \n b ") == "a b"
     long = "é" * 400
     assert h.head(long).endswith("…")
+
+
+def test_lists_of_words_are_normalized_as_words_are():
+    words = ["Ação", "PLAIN", "ΟΔΟΣ", "naïve", "", "İstanbul", "한국", "Ação"]
+    lists = [words, [], None, ["b"], words[::-1]] * 150
+    array = pa.array(lists, pa.list_(pa.string()))
+    want = [[normalize(w) for w in ws or []] for ws in lists]
+    assert analysis.normalize_lists(array).to_pylist() == want
+    assert analysis.normalize_lists(array.slice(3, 301)).to_pylist() == want[3:304]
+    assert analysis.normalize_lists(array.slice(0, 0)).to_pylist() == []
+
+
+def test_a_batch_does_not_become_python_words():
+    array = pa.array([["Coração", "plain", "words"] * 100] * 2000, pa.list_(pa.string()))
+    tracemalloc.start()
+    assert len(analysis.normalize_lists(array)) == 2000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20  # 600,000 strings of their own would take over 30 MB
