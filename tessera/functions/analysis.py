@@ -226,8 +226,7 @@ def stem_all(array: Column) -> Column:
 
 def keep_words(array: Column, analyzer: Analyzer) -> Column:
     """The stopword and length filters over an array of normalized words."""
-    stops = F.array(*[F.lit(w) for w in sorted(analyzer.stopwords)]) if analyzer.stopwords else F.array().cast("array<string>")
-    return F.filter(array, lambda w: (F.length(w) >= analyzer.min_token_len) & ~F.array_contains(stops, w))
+    return F.filter(array, lambda w: (F.length(w) >= analyzer.min_token_len) & ~w.isin(sorted(analyzer.stopwords)))
 
 
 def collapse_whitespace(text: Column) -> Column:

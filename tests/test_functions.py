@@ -111,3 +111,11 @@ def test_a_batch_does_not_become_python_words():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 << 20  # 600,000 strings of their own would take over 30 MB
+
+
+def test_stopwords_are_looked_up_and_not_searched(spark):
+    df = spark.createDataFrame([(["is", "a", "word", "b", None],)], "w array<string>")
+    kept = df.select(analysis.keep_words(F.col("w"), Analyzer()).alias("k"))
+    assert kept.first()["k"] == ["word"]
+    assert "array_contains" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert df.select(analysis.keep_words(F.col("w"), Analyzer.raw())).first()[0] == ["is", "a", "word", "b"]
