@@ -63,7 +63,10 @@ def normalize_words(spark, sf_dir):
 
 
 def stem_vocabulary(spark, sf_dir):
-    words = normalize_words(spark, sf_dir).select("normal").distinct()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # lists go through Python whole: over normalize_words, Spark drops the inner distinct and sends every word by itself
+    normal = analysis.normalize_udf()(F.array_distinct(analysis.words(F.col("text"))))
+    words = docs.select(F.explode(normal).alias("normal")).distinct()
     return words.select("normal", analysis.stem_all(F.array("normal"))[0].alias("stem"))
 
 
