@@ -38,7 +38,9 @@ def index_of(spark: SparkSession, sf_dir: str, plain: bool = False) -> Index:
     """The saved index of the documents, made once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, plain)
     if key not in _indexes:
-        docs = documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+        docs, cores = documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:
+            docs = docs.repartition(cores, "doc_id")
         _indexes[key] = store.save(build(docs, RAW if plain else Analyzer()), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
     return _indexes[key]
 

@@ -42,6 +42,8 @@ def _rule(text: str) -> tuple[str, str, int]:
 
 
 SUFFIX_RULES = tuple(_rule(r) for r in _RULES.split())
+#: The rules that a word can meet, by its last letter, in the same order.
+_BY_LAST = {c: tuple(r for r in SUFFIX_RULES if r[0][-1] == c) for c in {r[0][-1] for r in SUFFIX_RULES}}
 
 STOPWORDS = frozenset(
     "a an and ao aos aquela aquele aquilo are as at ate be been being but by com como cuja cujo da das de do dos e em entre era essa esse esta estar este foi for from ha he her "
@@ -63,7 +65,7 @@ def normalize(word: str) -> str:
 
 
 def strip_suffix(word: str) -> str:
-    for ending, put, least in SUFFIX_RULES:
+    for ending, put, least in _BY_LAST.get(word[-1:], ()):
         if word.endswith(ending) and len(word) - len(ending) >= least:
             return word[: len(word) - len(ending)] + put
     return word

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +85,10 @@ def varint_length(value: Column) -> Column:
     return F.lit(1) + steps[0] + steps[1] + steps[2] + steps[3]
 
 
+def varint_lengths(values: np.ndarray) -> np.ndarray:
+    return 1 + sum((values >= 1 << (7 * i)).astype(np.int64) for i in range(1, 5))
+
+
 def positions_length(positions: Column) -> Column:
     """Bytes of an ascending array's gaps."""
     shifted = F.concat(F.array(F.lit(0)), F.slice(positions, 1, F.greatest(F.size(positions) - 1, F.lit(0))))

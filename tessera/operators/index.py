@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,10 +29,14 @@ BLOCK_SIZE = 128
 RANGE = 1 << 16
 
 POSTINGS = "term string, doc_id long, positions array<int>, tf int, length int"
+#: Postings with ``size``, the bytes of their positions, and documents, whose term is null, in one table.
+ANALYSED = f"{POSTINGS}, size int, uri string, title string, text string"
+NAMES = ["term", "doc_id", "positions", "tf", "length", "size", "uri", "title", "text"]
 
 
-def _postings(analyzer: Analyzer):
-    """Postings of batches of (doc_id, text): words are coded once a slice, and only distinct ones analysed."""
+def _postings(analyzer: Analyzer, documents: bool = False):
+    """Postings of batches of (doc_id, text): words are coded once a slice, and only distinct ones analysed. With
+    ``documents``, of (doc_id, text, uri, title), the rows of ANALYSED."""
 
     def run(batches):
         term = remembered(analyzer)
@@ -40,9 +44,18 @@ def _postings(analyzer: Analyzer):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 found = [split(text) if text else [] for text in part.column(1).to_pylist()]
-                yield coded(part.column(0), list(chain.from_iterable(found)), np.array([len(w) for w in found], np.int64), term)
-
-    def coded(ids: pa.Array, words: list[str], sizes: np.ndarray, term) -> pa.RecordBatch:
+                posts, length = coded(part.column(0), list(chain.from_iterable(found)), np.array([len(w) for w in found], np.int64), term)
+                if not documents:
+                    yield pa.RecordBatch.from_arrays(posts[:5], NAMES[:5])
+                    continue
+                none = [pa.nulls(len(posts[0]), pa.string())] * 3
+                yield pa.RecordBatch.from_arrays([*posts, *none], NAMES)
+                none = [pa.nulls(part.num_rows, a.type) for a in posts]
+                yield pa.RecordBatch.from_arrays(
+                    [none[0], part.column(0), none[2], none[3], pa.array(length.astype(np.int32)), none[5], part.column(2), part.column(3), part.column(1)], NAMES
+                )
+
+    def coded(ids: pa.Array, words: list[str], sizes: np.ndarray, term) -> tuple[list[pa.Array], np.ndarray]:
         words = pa.array(words, pa.string()).dictionary_encode()
         codes: dict[str, int] = {}
         code_of = np.array([-1 if (t := term(w)) is None else codes.setdefault(t, len(codes)) for w in words.dictionary.to_pylist()], np.int64)
@@ -57,12 +70,15 @@ def _postings(analyzer: Analyzer):
         first = np.flatnonzero(np.diff(key, prepend=-1))
         ends = np.append(first, len(key))
         at = kept[first]
+        gap = np.diff(position[kept], prepend=0)
+        gap[first] = position[at]
+        size = np.diff(np.append(0, np.cumsum(codec.varint_lengths(gap)))[ends])
         cols = [
             pa.array(list(codes), pa.string()).take(pa.array(code[at])), ids.take(pa.array(doc[at])),
             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[kept].astype(np.int32))),
-            pa.array(np.diff(ends).astype(np.int32)), pa.array(length[doc[at]].astype(np.int32)),
+            pa.array(np.diff(ends).astype(np.int32)), pa.array(length[doc[at]].astype(np.int32)), pa.array(size.astype(np.int32)),
         ]
-        return pa.RecordBatch.from_arrays(cols, ["term", "doc_id", "positions", "tf", "length"])
+        return cols, length
 
     return run
 
@@ -80,6 +96,10 @@ class Index:
     totals: tuple[int, int] | None = None
     #: (vocabulary, postings, bytes of the postings), where they are known
     sizes: tuple[int, int, int] | None = None
+    #: ANALYSED, where the index is not saved yet: what saving it reads, so that texts are analysed once
+    analysed: DataFrame | None = None
+    #: a saved index's postings as ``placed`` made them
+    saved_places: DataFrame | None = None
 
     # -- scans -----------------------------------------------------------------
     def term(self, *terms: str) -> DataFrame:
@@ -99,40 +119,21 @@ class Index:
             return self.saved_terms
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len"))
 
-    def numbered(self, postings: DataFrame | None = None) -> DataFrame:
-        """Postings with ``nth``, their place in the term's list by document, from 0."""
-        ranged = (self.postings if postings is None else postings).withColumn("_range", F.floor(F.col("doc_id") / RANGE))
-        counts = ranged.groupBy("term", "_range").agg(F.count("*").alias("_n"))
-        before = W.partitionBy("term").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-        offsets = counts.select("term", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        within = W.partitionBy("term", "_range").orderBy("doc_id")
-        placed = ranged.withColumn("_within", F.row_number().over(within) - 1).join(offsets, ["term", "_range"])
-        return placed.withColumn("nth", F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
-
     def blocks(self) -> DataFrame:
         """(term, block_no, last_doc, count, max_tf, min_len) of each 128 postings."""
         return self.block_table().select("term", "block_no", "last_doc", "count", "max_tf", "min_len")
 
     def block_table(self) -> DataFrame:
-        """``blocks`` with ``first_doc`` and ``bytes``, what the block's postings would take. One pass: a block is an
-        array of at most 128 postings without their positions."""
+        """``blocks`` with ``first_doc`` and ``bytes``, what the block's postings would take."""
         if self.saved_blocks is not None:
             return self.saved_blocks
-        slim = self.postings.select("term", "doc_id", "tf", "length", codec.positions_length(F.col("positions")).alias("_positions"))
-        placed = self.numbered(slim).withColumn("block_no", F.floor(F.col("nth") / BLOCK_SIZE))
-        held = placed.groupBy("term", "block_no").agg(
-            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len"),
-            F.sum(codec.varint_length(F.col("tf")) + F.col("_positions")).alias("_rest"), F.sort_array(F.collect_list("doc_id")).alias("_docs"),
-        )
-        gaps = F.zip_with("_docs", F.concat(F.array(F.lit(0).cast("long")), F.slice("_docs", 1, F.size("_docs") - 1)), lambda a, b: codec.varint_length(a - b).cast("long"))
-        size = F.col("_rest") + F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
-        return held.withColumn("bytes", size.cast("long")).drop("_rest", "_docs")
+        slim = self.postings.select("term", "doc_id", "tf", "length", codec.positions_length(F.col("positions")).alias("size"))
+        return blocked(placed(slim))
 
     def gaps(self) -> DataFrame:
-        """(term, doc_id, gap): from the posting before in its block; a block's first stands as it is."""
-        placed = self.numbered().withColumn("block_no", F.floor(F.col("nth") / BLOCK_SIZE))
-        before = F.lag("doc_id").over(W.partitionBy("term", "block_no").orderBy("doc_id"))
-        return placed.withColumn("gap", F.col("doc_id") - F.coalesce(before, F.lit(0)))
+        """(term, doc_id, block_no, gap): from the posting before in its block; a block's first stands as it is."""
+        places = placed(self.postings.select("term", "doc_id"))
+        return places.select("term", "doc_id", block_no().alias("block_no"), gap().alias("gap"))
 
     def postings_bytes(self) -> DataFrame:
         """One row: bytes that the postings would take as gaps and variable-length integers."""
@@ -176,7 +177,10 @@ class Index:
         shift = F.col("doc_id") + F.lit(self.next_id())
         docs = other.documents.withColumn("doc_id", shift)
         posts = other.postings.withColumn("doc_id", shift)
-        return Index(self.documents.unionByName(docs), self.postings.unionByName(posts), self.analyzer)
+        both = None
+        if self.analysed is not None and other.analysed is not None:
+            both = self.analysed.unionByName(other.analysed.withColumn("doc_id", shift))
+        return Index(self.documents.unionByName(docs), self.postings.unionByName(posts), self.analyzer, analysed=both)
 
     def next_id(self) -> int:
         last = self.documents.agg(F.max("doc_id").alias("m")).first()["m"]
@@ -190,7 +194,44 @@ class Index:
         yield Edit(self)
 
     def cached(self) -> Index:
-        return replace(self, documents=self.documents.persist(), postings=self.postings.persist())
+        return replace(self, documents=self.documents.persist(), postings=self.postings.persist(), analysed=None)
+
+
+
+def placed(postings: DataFrame, spread=lambda df: df) -> DataFrame:
+    """Postings with ``nth``, their place in the term's list by document, from 0, and ``step``, how far they are from the
+    posting before; at a block's first posting it is 0. Postings are counted by term and range of ids first. What stands before a
+    range goes as a row of its own to the range's head, so that the postings are shuffled and sorted once: by ``spread``, if
+    that keeps a term's range together, in the order of ``term``, ``_range`` and ``doc_id``."""
+    ranged = postings.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
+    counts = ranged.groupBy("term", "_range").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last"))
+    before = W.partitionBy("term").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    heads = counts.select("term", "_range", F.sum("_n").over(before).alias("_before"), F.max("_last").over(before).alias("_prior")).where(F.col("_before") > 0)
+    both = spread(ranged.unionByName(heads, allowMissingColumns=True))
+    within = W.partitionBy("term", "_range").orderBy("doc_id")  # nulls, which heads have, come first
+    upto = within.rowsBetween(W.unboundedPreceding, W.currentRow)
+    nth = F.coalesce(F.max("_before").over(upto), F.lit(0)) + F.count("doc_id").over(upto) - 1
+    prior = F.coalesce(F.lag("doc_id").over(within), F.max("_prior").over(upto))
+    out = both.withColumn("nth", nth).withColumn("_prior", prior).where(F.col("doc_id").isNotNull())
+    step = F.when(F.col("nth") % BLOCK_SIZE == 0, 0).otherwise(F.col("doc_id") - F.col("_prior"))
+    return out.withColumn("step", step).drop("_range", "_before", "_prior")
+
+
+def block_no() -> Column:
+    return F.floor(F.col("nth") / BLOCK_SIZE)
+
+
+def gap() -> Column:
+    """The gap of a placed posting: a block's first stands as it is."""
+    return F.when(F.col("nth") % BLOCK_SIZE == 0, F.col("doc_id")).otherwise(F.col("step"))
+
+
+def blocked(places: DataFrame) -> DataFrame:
+    """The block table of placed postings with ``size``."""
+    held = F.sum((codec.varint_length(gap()) + codec.varint_length(F.col("tf")) + F.col("size")).cast("long"))
+    return places.groupBy("term", block_no().alias("block_no")).agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("length").alias("min_len"), held.alias("bytes")
+    )
 
 
 class Edit:
@@ -224,7 +265,8 @@ def build(docs: DataFrame, analyzer: Analyzer | None = None) -> Index:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     postings = source.select("doc_id", "text").mapInArrow(_postings(analyzer), POSTINGS)
-    return Index(with_lengths(source, postings), postings, analyzer)
+    analysed = source.select("doc_id", "text", "uri", "title").mapInArrow(_postings(analyzer, True), ANALYSED)
+    return Index(with_lengths(source, postings), postings, analyzer, analysed=analysed)
 
 
 def with_lengths(source: DataFrame, postings: DataFrame) -> DataFrame:

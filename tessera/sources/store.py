@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import codec
 from tessera.functions.analysis import Analyzer
-from tessera.operators.index import Index, with_lengths
+from tessera.operators.index import Index, blocked, placed
 from tessera.sources.files import Files
 
-FORMAT = 2
+FORMAT = 3
+POSTED = ("term", "doc_id", "positions", "tf", "length")
 TABLES = ("postings", "documents", "terms", "blocks")
 
 
@@ -35,19 +37,21 @@ def save(index: Index, path: str) -> Index:
     files = Files(spark, path)
     if files.exists(path):
         files.delete(path)
-    # texts are analysed once: the sort's sample, the sort and the lengths read what that wrote
-    index.postings.write.parquet(f"{path}/unsorted")
-    unsorted = spark.read.parquet(f"{path}/unsorted")
-    unsorted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
-    source = index.documents.select("doc_id", "uri", "title", "text")
-    with_lengths(source, unsorted).write.parquet(f"{path}/documents")
+    # texts are analysed once: all else reads what that wrote
+    rows(index).write.parquet(f"{path}/analysed")
+    analysed = spark.read.parquet(f"{path}/analysed")
+    analysed.where(F.col("term").isNull()).select("doc_id", "uri", "title", "text", "length").write.parquet(f"{path}/documents")
+    found = analysed.where(F.col("term").isNotNull()).select("term", "doc_id", "positions", "tf", "length", "size")
+    order = ("term", "_range", "doc_id")
+    places = placed(found, lambda df: df.repartitionByRange("term", "_range").sortWithinPartitions(*order))
+    places.write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     docs, posts = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
-    written = Index(docs, posts, index.analyzer)
-    written.block_table().repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no").write.parquet(f"{path}/blocks")
+    written = Index(docs, posts.select(*POSTED), index.analyzer)
+    blocked(posts).repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     terms = blocks.groupBy("term").agg(F.sum("count").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    files.delete(f"{path}/unsorted")
+    files.delete(f"{path}/analysed")
     n, total = written.collection()
     sizes = blocks.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
     vocabulary = spark.read.parquet(f"{path}/terms").count()
@@ -56,6 +60,14 @@ def save(index: Index, path: str) -> Index:
     return load(spark, path)
 
 
+def rows(index: Index) -> DataFrame:
+    """ANALYSED of an index that is not saved, from its tables if they were not made from texts here."""
+    if index.analysed is not None:
+        return index.analysed
+    posts = index.postings.select(*POSTED, codec.positions_length(F.col("positions")).cast("int").alias("size"))
+    return posts.unionByName(index.documents.select("doc_id", "uri", "title", "text", F.col("length").cast("int").alias("length")), allowMissingColumns=True)
+
+
 def load(spark: SparkSession, path: str) -> Index:
     """Opens lazily; says what is wrong with a directory that is no index of this format."""
     files = Files(spark, path)
@@ -74,4 +86,7 @@ def load(spark: SparkSession, path: str) -> Index:
         if not files.exists(f"{path}/{t}/_SUCCESS"):
             raise StoreError("incomplete", f"{path}: table {t} is missing")
     posts, docs, terms, blocks = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
-    return Index(docs, posts, Analyzer.from_json(json.dumps(meta["analyzer"])), path, terms, blocks, (meta["n_docs"], meta["total_length"]), tuple(meta[k] for k in ("vocabulary", "postings", "postings_bytes")))
+    sizes = tuple(meta[k] for k in ("vocabulary", "postings", "postings_bytes"))
+    return Index(
+        docs, posts.select(*POSTED), Analyzer.from_json(json.dumps(meta["analyzer"])), path, terms, blocks, (meta["n_docs"], meta["total_length"]), sizes, saved_places=posts.drop("positions")
+    )

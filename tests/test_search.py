@@ -214,3 +214,27 @@ def test_moves_are_merged_and_not_paired(spark, saved, monkeypatch):
     assert not [line for line in plan.splitlines() if "Join" in line and ">=" in line]
     got = {r["target"]: (r["doc_id"], r["remaining"], r["block_no"]) for r in moved.collect()}
     assert got == {t: (min(a), len(a), (len(ids) - len(a)) // 128) for t in targets if (a := [i for i in ids if i >= t])}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_numbered_in_one_sort(spark, texts, monkeypatch, tmp_path):
+    """Over many ranges of ids and several blocks, saved or not, numbers and gaps are those of a walk; nothing is joined for them."""
+    monkeypatch.setattr("tessera.operators.index.RANGE", 8)
+    rows = [(i, f"u{i}", t) for i, t in texts.items()]
+    cut = 150
+    halves = [build(spark.createDataFrame(part, "doc_id long, uri string, text string"), RAW) for part in (rows[:cut], [(i - cut, u, t) for i, u, t in rows[cut:]])]
+    fresh = halves[0].merge(halves[1])
+    assert "Join" not in _plan(fresh.block_table()) and "collect_list" not in _plan(fresh.block_table())
+    kept = store.save(fresh, f"file://{tmp_path}/i")
+    lists = {}
+    for i, t in texts.items():
+        for w in set((t or "").split()):
+            lists.setdefault(w, []).append(i)
+    want = sorted((w, d, n // 128, d if n % 128 == 0 else d - ids[n - 1]) for w, ids in lists.items() for n, d in enumerate(ids))
+    assert sorted(map(tuple, fresh.gaps().collect())) == sorted(map(tuple, kept.gaps().collect())) == want
+    assert sorted(map(tuple, fresh.block_table().collect())) == sorted(map(tuple, kept.block_table().collect()))
+    assert fresh.stats().first() == kept.stats().first()
+    assert sorted(r["doc_id"] for r in kept.documents.collect()) == sorted(texts)
