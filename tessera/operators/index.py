@@ -132,7 +132,7 @@ class Index:
 
     def gaps(self) -> DataFrame:
         """(term, doc_id, block_no, gap): from the posting before in its block; a block's first stands as it is."""
-        places = placed(self.postings.select("term", "doc_id"))
+        places = self.saved_places if self.saved_places is not None else placed(self.postings.select("term", "doc_id"))
         return places.select("term", "doc_id", block_no().alias("block_no"), gap().alias("gap"))
 
     def postings_bytes(self) -> DataFrame:

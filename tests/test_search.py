@@ -238,3 +238,8 @@ def test_postings_are_numbered_in_one_sort(spark, texts, monkeypatch, tmp_path):
     assert sorted(map(tuple, fresh.block_table().collect())) == sorted(map(tuple, kept.block_table().collect()))
     assert fresh.stats().first() == kept.stats().first()
     assert sorted(r["doc_id"] for r in kept.documents.collect()) == sorted(texts)
+
+
+def test_gaps_of_a_saved_index_are_read(saved):
+    plan = _plan(saved.gaps())
+    assert "Window" not in plan and "Join" not in plan
