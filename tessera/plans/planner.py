@@ -24,6 +24,8 @@ CLAUSE = "query_id long, clause_id int, occur string, slots int, term string, of
 LITERALS = 1000
 #: Ranges of document ids that blocks' bounds are added up in.
 RANGES = 1 << 16
+#: Matches of a batch of queries that a task adds up.
+PART = 1 << 20
 #: A score is rounded before it is ordered by, so that the order of a sum cannot break ties.
 DIGITS = 6
 
@@ -206,10 +208,15 @@ class Searcher:
         n, total = self.index.collection()
         words = queries.select("query_id", F.explode(analyze_udf(self.index.analyzer)(F.coalesce("text", F.lit("")))).alias("t"))
         wanted = words.groupBy("query_id", F.col("t.term").alias("term")).agg(F.count("*").alias("times"))
-        found = self.index.postings.select("term", "doc_id", "tf", "length").join(wanted, "term").join(self.index.terms().select("term", "df"), "term")
+        wanted = wanted.join(self.index.terms().select("term", "df"), "term")
+        rows = wanted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+        found = self.index.postings.select("term", "doc_id", "tf", "length").join(wanted, "term")
         average = F.lit(total / n if n else 0.0)
         value = self.bm25.score_expr(F.col("tf"), F.col("length"), average, self.bm25.idf_expr(F.col("df"), F.lit(float(n)))) * F.col("times")
-        hits = found.groupBy("query_id", "doc_id").agg(F.round(F.sum(value), DIGITS).alias("score"))
+        # postings lie by term, so adding up before the shuffle would gain nothing and hold a frequent term's documents at once
+        parts = max(self.index.documents.sparkSession.sparkContext.defaultParallelism, -(-rows // PART))
+        spread = found.select("query_id", "doc_id", value.alias("value")).repartition(parts, "query_id", "doc_id")
+        hits = spread.groupBy("query_id", "doc_id").agg(F.round(F.sum("value"), DIGITS).alias("score"))
         order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

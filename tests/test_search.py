@@ -243,3 +243,12 @@ def test_postings_are_numbered_in_one_sort(spark, texts, monkeypatch, tmp_path):
 def test_gaps_of_a_saved_index_are_read(saved):
     plan = _plan(saved.gaps())
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_a_batch_is_added_up_in_parts_of_a_size(spark, saved, monkeypatch):
+    monkeypatch.setattr("tessera.plans.planner.PART", 10, raising=False)
+    asked = spark.createDataFrame([(1, "ant fox"), (2, "bee")], "query_id long, text string")
+    matches = sum(saved.term(t).count() for t in ("ant", "fox", "bee"))
+    hits = Searcher(saved).batch_terms(asked, 400)
+    assert f"RepartitionByExpression [query_id" in _plan(hits) and f", {-(-matches // 10)}" in _plan(hits)  # noqa: F541
+    assert {(r["doc_id"], r["score"]) for r in hits.collect() if r["query_id"] == 1} == set(map(tuple, Searcher(saved).exhaustive("ant fox", 400).collect()))
