@@ -196,6 +196,15 @@ class Index:
     def cached(self) -> Index:
         return replace(self, documents=self.documents.persist(), postings=self.postings.persist(), analysed=None)
 
+    def read_once(self, terms: list[str], positions: bool) -> Index:
+        """An index with the postings of ``terms`` alone and its totals, for which the texts are analysed once, now. It is
+        the same index where that was done before."""
+        if self.analysed is None or self.totals is not None:
+            return self
+        wanted = self.analysed.where(F.col("term").isin(*terms) | F.col("term").isNull())
+        found = cut(wanted.select("term", "doc_id", *(["positions"] if positions else []), "tf", "length"))
+        row = found.where(F.col("term").isNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
+        return replace(self, postings=found.where(F.col("term").isNotNull()), totals=(row["n"], row["total"]), analysed=None)
 
 
 def placed(postings: DataFrame, spread=lambda df: df) -> DataFrame:

@@ -71,6 +71,9 @@ def phrase_by_join(index: Index, terms: tuple[tuple[str, int], ...]) -> DataFram
 
 def scored(index: Index, queries: dict[int, Query], bm25: Bm25) -> DataFrame:
     """(query_id, doc_id, score) of all documents that match."""
+    asked = sorted({t for q in queries.values() for c in q.clauses for t, _ in c.terms})
+    if len(asked) <= LITERALS:
+        index = index.read_once(asked, any(q.has_phrase for q in queries.values()))
     n, total = index.collection()
     found = matches(index, queries)
     if index.saved_terms is not None and not any(q.has_phrase for q in queries.values()):

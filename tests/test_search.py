@@ -252,3 +252,10 @@ def test_a_batch_is_added_up_in_parts_of_a_size(spark, saved, monkeypatch):
     hits = Searcher(saved).batch_terms(asked, 400)
     assert f"RepartitionByExpression [query_id" in _plan(hits) and f", {-(-matches // 10)}" in _plan(hits)  # noqa: F541
     assert {(r["doc_id"], r["score"]) for r in hits.collect() if r["query_id"] == 1} == set(map(tuple, Searcher(saved).exhaustive("ant fox", 400).collect()))
+
+
+def test_texts_of_an_unsaved_index_are_analysed_once(spark, texts):
+    fresh = build(spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string"), RAW)
+    hits = Searcher(fresh, pruning=False).search("elk fox")
+    assert "MapInArrow" not in _plan(hits)
+    assert [tuple(r) for r in hits.collect()] == brute(texts, "elk fox", 10)
