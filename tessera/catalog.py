@@ -120,9 +120,11 @@ def upper_bounds_dominate(spark, sf_dir):
     """Each term's best score and its bound; the first never exceeds the second."""
     index, bm25 = index_of(spark, sf_dir), Bm25()
     n, total = index.collection()
-    bounds = index.bounds(bm25)
-    value = bm25.score_expr(F.col("tf"), F.col("length"), F.lit(total / n if n else 0.0), bm25.idf_expr(F.col("df"), F.lit(float(n))))
-    best = index.postings.join(bounds.select("term", "df", "upper_bound"), "term").groupBy("term").agg(F.max(value).alias("best"), F.first("upper_bound").alias("bound"))
+    # a posting's score is its term's idf times this; the best of a term is found before anything is joined
+    weight = bm25.score_expr(F.col("tf"), F.col("length"), F.lit(total / n if n else 0.0), F.lit(1.0))
+    weights = index.postings.groupBy("term").agg(F.max(weight).alias("weight"))
+    rated = weights.join(index.bounds(bm25).select("term", "df", F.col("upper_bound").alias("bound")), "term")
+    best = rated.withColumn("best", bm25.idf_expr(F.col("df"), F.lit(float(n))) * F.col("weight"))
     return best.select("term", F.round("best", 6).alias("best"), F.round("bound", 6).alias("bound"), (F.col("best") <= F.col("bound") + 1e-12).alias("dominated"))
 
 

@@ -53,3 +53,8 @@ def test_words_of_a_document_go_through_python_together(spark):
     """Python stands below the table of single words, so that it gets a list a document and not every word by itself."""
     plan = QUERIES["stem_vocabulary"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("ArrowEvalPython")
+
+
+def test_bounds_are_joined_with_terms_and_not_with_postings(spark):
+    plan = QUERIES["upper_bounds_dominate"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
