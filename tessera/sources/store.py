@@ -38,13 +38,13 @@ def save(index: Index, path: str) -> Index:
     if files.exists(path):
         files.delete(path)
     # texts are analysed once: all else reads what that wrote
-    rows(index).write.parquet(f"{path}/analysed")
+    rows(index).write.option("compression", "zstd").parquet(f"{path}/analysed")
     analysed = spark.read.parquet(f"{path}/analysed")
-    analysed.where(F.col("term").isNull()).select("doc_id", "uri", "title", "text", "length").write.parquet(f"{path}/documents")
-    found = analysed.where(F.col("term").isNotNull()).select("term", "doc_id", "positions", "tf", "length", "size")
+    analysed.where(F.col("term").isNull()).select("doc_id", "uri", "title", "text", "length").write.option("compression", "zstd").parquet(f"{path}/documents")
+    found = analysed.where(F.col("term").isNotNull()).select("term", "doc_id", "positions", "length", "size")
     order = ("term", "_range", "doc_id")
-    places = placed(found, lambda df: df.repartitionByRange("term", "_range").sortWithinPartitions(*order))
-    places.write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    places = placed(found, lambda df: df.repartitionByRange("term", "_range").sortWithinPartitions(*order)).withColumn("tf", F.size("positions"))
+    places.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     docs, posts = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
     written = Index(docs, posts.select(*POSTED), index.analyzer)
     blocked(posts).repartitionByRange("term", "block_no").sortWithinPartitions("term", "block_no").write.parquet(f"{path}/blocks")
